@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillion.llm import quality, url_filter
+from quillion.llm import audio, quality, sentencepiece_codec, token_counts, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -23,6 +23,33 @@ def _query(fn):
     return fn
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@_query
+def op1_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = audio.store(_table(spark, sf_dir, "documents"))
+    found = audio.read(media, ["doc_id", "n_bytes"], keep_pcm=False)
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec")
+
+
+@_query
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.digests(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+
+
+TOKEN_LIMIT = 4096
+
+
+@_query
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.count(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
 #: The listed canonical URLs of the contract.
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 
