@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillion.llm import audio, packing, quality, sentencepiece_codec, sharding, token_counts, url_filter
+from quillion.llm import audio, chat, langid, packing, quality, sentencepiece_codec, sharding, token_counts, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -36,6 +36,13 @@ def op1_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec")
 
 
+@_query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.train(docs))
+    return found.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 SEQUENCE_TOKENS = 2048
 
 
@@ -119,3 +126,15 @@ from b
 
 
 ORACLE["op9_quality_rules"] = _quality_sql()
+
+
+#: The conversation that the contract adds.
+ADDED = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+@_query
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.unionByName(spark.createDataFrame(ADDED, "conv_id long, turn long, role string, text string"))
+    # The numbering of turns has dealt the log by conversation.
+    return chat.read_back(chat.fold(chat.events_of(rows), dealt=True))
