@@ -11,12 +11,17 @@ from pyspark.sql import functions as F
 PARTS = 4096
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df``, written once to the folder in ``spark.checkpoint.dir`` that all executors share; a folder of its own is set only where there is none."""
-    spark: SparkSession = df.sparkSession
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which all executors share; one of our own is set only where there is none."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillion-checkpoint-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillion-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df``, written once to the shared checkpoint folder and cut off from its plan."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
