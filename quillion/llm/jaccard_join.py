@@ -35,9 +35,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quillion.llm.batches import keyed_map, steps
 from quillion.llm.cluster import checkpoint_dir, checkpointed
@@ -369,8 +368,7 @@ def _picker(bits: bytes):
                         continue
                     node = node_of(words)
                     c = class_of(node)
-                    at = c & ((1 << PICK_BITS) - 1)
-                    if picked[at >> 3] >> (at & 7) & 1 and node not in seen:
+                    if in_filter(picked, c) and node not in seen:
                         seen.add(node)
                         nodes.append(node)
                         classes.append(c)
@@ -380,14 +378,24 @@ def _picker(bits: bytes):
     return run
 
 
-def texts_of(docs: DataFrame, text_col: str, classes: DataFrame) -> DataFrame:
-    """(node, cls, text) of the texts whose class is in ``classes``, once each. A filter of fixed size spares the shuffle most others."""
+def filter_bits(classes: DataFrame) -> bytes:
+    """A filter of fixed size for ``classes`` (cls): what is not in it is surely in none of them."""
     low = F.col("cls").bitwiseAND(F.lit((1 << PICK_BITS) - 1))
     words = classes.select(F.shiftright(low, 6).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), low.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
     found = words.groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most 2**PICK_BITS / 64 rows
     table = np.zeros(1 << (PICK_BITS - 6), np.int64)
     table[found.column("w").to_numpy()] = found.column("bits").to_numpy()
-    near = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(_picker(table.astype("<i8").tobytes()), "node binary, cls long, text string")
+    return table.astype("<i8").tobytes()
+
+
+def in_filter(bits: np.ndarray, cls: int) -> bool:
+    at = cls & ((1 << PICK_BITS) - 1)
+    return bool(bits[at >> 3] >> (at & 7) & 1)
+
+
+def texts_of(docs: DataFrame, text_col: str, classes: DataFrame) -> DataFrame:
+    """(node, cls, text) of the texts whose class is in ``classes``, once each. The filter spares the shuffle most others."""
+    near = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(_picker(filter_bits(classes)), "node binary, cls long, text string")
     return near.join(classes.distinct(), "cls", "left_semi").groupBy("node").agg(F.first("cls").alias("cls"), F.first("text").alias("text"))
 
 
@@ -464,15 +472,49 @@ def _named(texts: pa.Array) -> dict[str, pa.Array]:
     return {"node": pa.array(nodes, pa.binary()), "cls": pa.array([class_of(n) if n else None for n in nodes], pa.int64())}
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(id, n_shingles, component_id) of every row; two sets are linked where den * |both| >= num * |either|."""
+def _fates(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(id, node, cls) of every row, and (node, cls, root, id, n, n_shingles) of every text: its least id and number of rows."""
     _, roots, sizes = links(docs, text_col, k, num, den)
     named = checkpointed(keyed_map(docs, [id_col], text_col, _named, [("node", "binary"), ("cls", "long")]).withColumnRenamed(id_col, "id"))
     # What is known of a text is found once, then joined to its copies.
-    least = named.where(F.col("node").isNotNull()).groupBy("node", "cls").agg(F.min("id").alias("id")).join(sizes, "cls", "left").join(roots, "node", "left")
-    least = least.select("node", F.col("n").alias("n_shingles"), F.coalesce("root", "node").alias("root"), "id")
-    of_root = least.groupBy("root").agg(F.min("id").alias("component_id"))
-    of_node = least.join(of_root, "root").select("node", "n_shingles", "component_id")
+    least = named.where(F.col("node").isNotNull()).groupBy("node", "cls").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    least = least.join(sizes.withColumnRenamed("n", "n_shingles"), "cls", "left").join(roots, "node", "left")
+    return named, least.select("node", "cls", F.coalesce("root", "node").alias("root"), "id", "n", "n_shingles")
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """(id, n_shingles, component_id) of every row; two sets are linked where den * |both| >= num * |either|."""
+    named, texts = _fates(docs, id_col, text_col, k, num, den)
+    of_root = texts.groupBy("root").agg(F.min("id").alias("component_id"))
+    of_node = texts.join(of_root, "root").select("node", "n_shingles", "component_id")
     whole = named.where(F.col("node").isNotNull()).join(of_node, "node").select("id", "n_shingles", "component_id")
     empty = named.where(F.col("node").isNull()).select("id", F.lit(0).cast("long").alias("n_shingles"), F.col("id").alias("component_id"))
     return whole.unionByName(empty).select(F.col("id").alias(id_col), "n_shingles", "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """One row of each component, with its own columns only: that of the smallest id; texts without words all stay.
+
+    Only rows of a component of several rows (and a few that the filter cannot
+    tell from them) are shuffled with their texts.
+    """
+    _, texts = _fates(docs, id_col, text_col, k, num, den)
+    # A null id comes after all others; among texts with the same id the first by name stays.
+    texts = checkpointed(texts)
+    keeper = texts.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("node").alias("node"))).alias("keeper"), F.sum("n").alias("rows"))
+    crowded = checkpointed(texts.join(keeper.where("rows > 1"), "root").select("node", "cls", (F.col("node") == F.col("keeper.node")).alias("stays"), F.col("keeper.id").alias("keeper_id")))
+    bits = filter_bits(crowded.select("cls"))
+
+    def named(values: pa.Array) -> dict[str, pa.Array]:
+        out = _named(values)
+        table = np.frombuffer(bits, np.uint8)
+        return out | {"near": pa.array([c is not None and in_filter(table, c) for c in out["cls"].to_pylist()], pa.bool_())}
+
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = keyed_map(docs.select(own, F.col(f"`{text_col}`").alias("text")), ["row"], "text", named, [("node", "binary"), ("cls", "long"), ("near", "boolean")])
+    apart = rows.where(~F.col("near")).select("row.*")
+    judged = rows.where("near").join(crowded.drop("cls"), "node", "left")
+    alone = judged.where(F.col("stays").isNull()).select("row.*")
+    kept = judged.where(F.col("stays") & F.col("row")[id_col].eqNullSafe(F.col("keeper_id")))
+    first = F.row_number().over(Window.partitionBy("node", F.col("row")[id_col]).orderBy(F.to_json("row")))
+    return apart.unionByName(alone).unionByName(kept.withColumn("nth", first).where("nth = 1").select("row.*"))
