@@ -12,7 +12,8 @@ zone, and linked sets must share a key in segments worth H + 1 together.
 Allocation by cost: keys of more than HEAVY sets are dear. A set that still has
 segments worth H + 1 without its heavy keys does without them. Of two linked
 sets it is enough that one can: the pair meets in a cheap key. Only pairs of
-sets that both cannot are left; they are compared in blocks.
+sets that both cannot are left; they are compared in blocks, of which most are
+ruled out by the shingles that a set shares with no other.
 
 Candidates are verified exactly, on words. Each key's sets are first held
 against the smallest only; what is then in one component needs no further
@@ -30,6 +31,7 @@ whatever their names; texts of any length are read whole.
 from __future__ import annotations
 
 import hashlib
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -49,7 +51,7 @@ ZONE = 0.05
 #: Growth of sizes from band to band.
 BAND = 1.5
 #: Sets of one block, about.
-BLOCK = 256
+BLOCK = 512
 #: Distinct words whose hash a worker keeps.
 KEPT_WORDS = 1 << 19
 #: Bits of the filter that picks the texts to fetch: fixed, so that it can be sent to all tasks whatever the corpus (1 MB).
@@ -322,14 +324,15 @@ def _block_linker(k: int, num: int, den: int):
     def run(table: pa.Table) -> pa.Table:
         side = np.array(table.column("side").to_pylist())
         nodes, roots, texts = (table.column(c).to_pylist() for c in ("node", "root", "text"))
-        words = [words_of(t) for t in texts]
-        shingles, sizes = shingle_sets(words, k)
+        parts = [shingle_sets([words_of(t)], k) for t in texts]  # word lists are not kept: they take far more room than texts
+        shingles, sizes = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        del parts
         value, column = np.unique(shingles, return_inverse=True)
         often = np.bincount(column) > 1  # a shingle of one set is in no intersection
         place = np.cumsum(often) - 1
-        owner = np.repeat(np.arange(len(words)), sizes)
+        owner = np.repeat(np.arange(len(texts)), sizes)
         keep = often[column]
-        rows = np.zeros((len(words), int(often.sum())), np.float32)
+        rows = np.zeros((len(texts), int(often.sum())), np.float32)
         rows[owner[keep], place[column[keep]]] = 1
         x = np.flatnonzero(side == 0)
         y = np.flatnonzero(side == 1) if (side == 1).any() else x
@@ -345,7 +348,7 @@ def _block_linker(k: int, num: int, den: int):
 
         for i, j in near.tolist():
             p, q = x[i], y[j]
-            if top(roots[p]) != top(roots[q]) and linked(words[p], words[q], k, num, den):
+            if top(roots[p]) != top(roots[q]) and linked(words_of(texts[p]), words_of(texts[q]), k, num, den):
                 joined[top(roots[p])] = top(roots[q])  # one link for each pair of components is enough
                 a.append(nodes[p])
                 b.append(nodes[q])
@@ -354,6 +357,18 @@ def _block_linker(k: int, num: int, den: int):
     return run
 
 
+def _shingler(k: int):
+    """(class, shingle) of every distinct shingle of a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in steps(batch, 1):
+                found, sizes = shingle_sets([words_of(t) for t in part.column(1).to_pylist()], k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), sizes)), pa.array(found.view(np.int64))], names=["cls", "shingle"])
+
+    return run
+
+
 def _picker(bits: bytes):
     """Texts whose class is in the filter, once for each task."""
 
@@ -445,21 +460,28 @@ def links(docs: DataFrame, text_col: str, k: int, num: int, den: int) -> tuple[D
 
     # Pairs of sets that both need their heavy keys: groups that such keys hold together, in blocks.
     groups = components(dear.join(dear_rep, "key").select(F.col("rep").alias("a"), F.col("cls").alias("b")))
-    dense = checkpointed(groups.select(F.col("node").alias("cls"), F.col("root").alias("grp")).join(rooted, "cls").select("grp", "node", "root"))
-    share = dense.groupBy("grp", "root").agg(F.count("*").alias("n"))
-    # A large component has blocks of its own, small ones are pooled: blocks of one component are not compared.
-    kind = share.withColumn("own", F.when(F.col("n") >= BLOCK, F.col("root")))
-    parts = kind.groupBy("grp", "own").agg(F.sum("n").alias("n"), F.count("*").alias("roots"))
-    parts = parts.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    several = parts.groupBy("grp").agg(F.sum("roots").alias("r")).where("r > 1").select("grp")
-    each = parts.join(several, "grp").select("grp", "own", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    each = each.withColumn("name", F.concat_ws("-", F.coalesce(F.hex("own"), F.lit("")), "block"))
-    left_blocks, right_blocks = (each.select("grp", F.col("own").alias(f"own{s}"), F.col("name").alias(f"name{s}")) for s in (0, 1))
-    block_pairs = left_blocks.join(right_blocks, "grp").where("name0 <= name1 and (own0 is null or own1 is null or own0 <> own1)")
-    block_pairs = block_pairs.withColumn("pair", F.concat_ws("/", F.col("grp"), "name0", "name1"))
+    dense = groups.select(F.col("node").alias("cls"), F.col("root").alias("grp")).join(rooted, "cls").select("grp", "node", "cls", "root")
+    several = dense.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("grp")
+    dense = checkpointed(dense.join(several, "grp"))
+    # A shingle of one set only is in no intersection: what is left of a set bounds its similarity to any other.
+    shingles = dense.select("cls").distinct().join(texts.select("cls", "text"), "cls").mapInArrow(_shingler(k), "cls long, shingle long")
+    rare = shingles.groupBy("shingle").agg(F.min("cls").alias("cls"), F.count("*").alias("n")).where("n = 1").groupBy("cls").agg(F.count("*").alias("rare"))
+    sized = dense.join(sizes, "cls").join(rare, "cls", "left").withColumn("common", F.col("n") - F.coalesce("rare", F.lit(0)))
+    # Blocks hold sets of about the same size and common part. A large component has blocks of its own, small ones are pooled.
+    share = Window.partitionBy("grp", "root")
+    sized = sized.withColumn("own", F.when(F.count("*").over(share) >= BLOCK, F.col("root")))
+    sized = sized.withColumns({"s": F.floor(F.log("n") / math.log(1.03)).cast("int"), "c": F.floor(50 * F.col("common") / F.col("n")).cast("int")})
+    cell = ["grp", "own", "s", "c"]
+    sized = checkpointed(sized.withColumn("blocks", F.ceil(F.count("*").over(Window.partitionBy(*cell)) / BLOCK).cast("int")))
+    part = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    of_block = sized.withColumn("name", F.concat_ws("-", F.coalesce(F.hex("own"), F.lit("")), "s", "c", part))
+    each = of_block.groupBy("grp", "name", "own").agg(F.min("n").alias("n"), F.max("common").alias("c"))
+    x, y = (each.select("grp", *[F.col(c).alias(f"{c}{i}") for c in ("name", "own", "n", "c")]) for i in (0, 1))
+    both = F.least("c0", "c1")
+    # Blocks of one component are not compared, nor those in which no two sets can be similar enough.
+    block_pairs = x.join(y, "grp").where("name0 <= name1 and (own0 is null or own1 is null or own0 <> own1)").where(den * both >= num * (F.col("n0") + F.col("n1") - both))
+    block_pairs = block_pairs.withColumn("pair", F.concat_ws("/", F.hex("grp"), "name0", "name1"))
     sides = block_pairs.select("grp", F.explode(F.array(F.struct(F.col("name0").alias("name"), F.lit(0).alias("side"), F.col("pair")), F.struct(F.col("name1").alias("name"), F.when(F.col("name0") == F.col("name1"), F.lit(0)).otherwise(F.lit(1)).alias("side"), F.col("pair")))).alias("s")).select("grp", "s.*").distinct()
-    of_block = dense.join(kind.select("grp", "root", "own"), ["grp", "root"]).join(parts.select("grp", F.col("own").alias("p_own"), "blocks"), "grp").where(F.col("own").eqNullSafe(F.col("p_own")))
-    of_block = of_block.select("grp", "node", "root", F.concat_ws("-", F.coalesce(F.hex("own"), F.lit("")), F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("name"))
     rows = of_block.join(sides, ["grp", "name"]).join(texts.select("node", "text"), "node").select("pair", "side", "node", "root", "text")
     blocks = rows.groupBy("pair").applyInArrow(_block_linker(k, num, den), "a binary, b binary")
 
