@@ -278,16 +278,22 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def linked(a: list[bytes], b: list[bytes], k: int, num: int, den: int) -> bool:
-    """Whether two texts' shingle sets are similar enough, by words (no hashes)."""
+    """Whether two texts' shingle sets are similar enough, by words: each distinct word of the two has a number, a shingle's numbers make one."""
     number: dict[bytes, int] = {}
-
-    def shingles(words: list[bytes]) -> set:
-        ids = [number.setdefault(w, len(number)) for w in words]
-        return set(zip(*[ids[i:] for i in range(k)], strict=False)) if len(ids) >= k else {tuple(ids)}
-
-    x, y = shingles(a), shingles(b)
-    both = len(x & y)
-    return den * both >= num * (len(x) + len(y) - both)
+    ids = [np.array([number.setdefault(w, len(number)) for w in words], np.int64) for words in (a, b)]
+    base = len(number)
+    if base**k >= 1 << 63 or min(len(a), len(b)) < k:
+        sets = [set(zip(*[i.tolist()[j:] for j in range(k)], strict=False)) if len(i) >= k else {tuple(i.tolist())} for i in ids]
+        both, sizes = len(sets[0] & sets[1]), [len(x) for x in sets]
+    else:
+        codes = []
+        for i in ids:
+            code = i[: len(i) - k + 1]
+            for j in range(1, k):
+                code = code * base + i[j : len(i) - k + 1 + j]
+            codes.append(np.unique(code))
+        both, sizes = len(np.intersect1d(*codes, assume_unique=True)), [len(c) for c in codes]
+    return den * both >= num * (sum(sizes) - both)
 
 
 def _verifier(k: int, num: int, den: int):
@@ -441,6 +447,9 @@ def links(docs: DataFrame, text_col: str, k: int, num: int, den: int) -> tuple[D
     def verified(pairs: DataFrame) -> DataFrame:
         x = texts.select(F.col("cls").alias("x"), F.col("node").alias("a"), F.col("text").alias("ta"))
         y = texts.select(F.col("cls").alias("y"), F.col("node").alias("b"), F.col("text").alias("tb"))
+        # Sets of too different sizes are not linked: their texts need not be fetched.
+        pairs = pairs.join(sizes.select(F.col("cls").alias("x"), F.col("n").alias("nx")), "x").join(sizes.select(F.col("cls").alias("y"), F.col("n").alias("ny")), "y")
+        pairs = pairs.where(den * F.least("nx", "ny") >= num * F.greatest("nx", "ny")).select("x", "y")
         return pairs.join(y, "y").join(x, "x").select("a", "ta", "b", "tb").mapInArrow(_verifier(k, num, den), "a binary, b binary")
 
     found = checkpointed(verified(stars.select(F.col("rep").alias("x"), F.col("cls").alias("y"))))
