@@ -15,10 +15,11 @@ sets it is enough that one can: the pair meets in a cheap key. Only pairs of
 sets that both cannot are left; they are compared in blocks, of which most are
 ruled out by the shingles that a set shares with no other.
 
-Candidates are verified exactly, on words. Each key's sets are first held
-against the smallest only; what is then in one component needs no further
-comparison, the rest of a cheap key's sets are compared across components.
-Equal texts are one from the start.
+A pair that meets in a cheap key is a candidate if all that it shares, and
+could share in heavy keys, is worth as much as linked sets must share. A set is
+first held against the smallest of its candidates; what is then in one component
+needs no further comparison, the rest are compared across components.
+Candidates are verified exactly, on words. Equal texts are one from the start.
 
 Defined results: without words, or for a null text, a set is empty and linked
 with nothing, its component is the row's own id; with fewer than k words the
@@ -147,6 +148,9 @@ class Bands:
 
 # Bits of ``info``: spare 0-19, deletion 20, zone 21, segment 22-47, band 48-55. Rows of a set's size have -1 - size.
 _DELETION, _ZONE, _SEGMENT, _BAND_AT = 20, 21, 22, 48
+_SPARE = (1 << 20) - 1
+#: Kinds of rows that come out of the meeting of keys.
+SIZE, PAIR, HEAVY_ROW = 0, 1, 2
 
 
 def keys_of(shingles: np.ndarray, sizes: np.ndarray, cls: np.ndarray, band: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -165,7 +169,7 @@ def keys_of(shingles: np.ndarray, sizes: np.ndarray, cls: np.ndarray, band: np.n
     of = np.repeat(np.arange(len(sizes)), segments)
     number = np.arange(total) - base[of]
     place = mix(salt[of] + number.astype(np.uint64))
-    spare = np.clip(bands.spare(sizes, band), 0, (1 << 20) - 1)
+    spare = np.clip(bands.spare(sizes, band), 0, _SPARE)
     zone = number < bands.zone[band][of]
     info = spare[of] | zone.astype(np.int64) << _ZONE | number << _SEGMENT | band[of] << _BAND_AT
     out = [(mix(subset ^ place), cls[of], info)]
@@ -214,60 +218,77 @@ def signatures(docs: DataFrame, text_col: str, k: int, num: int, den: int) -> Da
     return docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(_signer(k, num, den), "key long, cls long, info long")
 
 
+def _light_pairs(key: np.ndarray, cls: np.ndarray, info: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, what) of the pairs in cheap keys' groups: a < b; ``what`` has the worth of the segment that they share, the worth that linked ones must share in all, and the band.
+
+    Two deletions that agree say nothing that the pigeonhole needs, and are left
+    out, so a pair shares a key of a segment once at most.
+    """
+    out = []
+    for n in range(2, HEAVY + 1):
+        groups = start[size == n]
+        if not len(groups):
+            continue
+        i, j = np.triu_indices(n, 1)
+        x, y = (groups[:, None] + i).ravel(), (groups[:, None] + j).ravel()
+        deleted = info[x] >> _DELETION & 1, info[y] >> _DELETION & 1
+        keep = (deleted[0] & deleted[1]) == 0
+        x, y, exact = x[keep], y[keep], ((deleted[0] | deleted[1]) == 0)[keep]
+        worth = 1 + (exact & (info[x] >> _ZONE & 1 == 1))
+        need = np.maximum(info[x] & _SPARE, info[y] & _SPARE) + 1
+        out.append((cls[x], cls[y], worth | need << 2 | (info[x] >> _BAND_AT) << _BAND_AT))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (cls[:0], cls[:0], info[:0])
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key and class: rows of keys with two classes or more, with the key's first class, and whether it is heavy; rows of sizes as they are.
+    """Of rows sorted by key and class: PAIR rows of cheap keys (a, b: classes), HEAVY_ROW rows of dear ones (a: key, b: class), SIZE rows (a: class).
 
-    A key's first HEAVY classes are held until it is known to be heavy.
+    A key's rows are held until it has more than HEAVY classes or ends.
     """
-    names = ["key", "cls", "info", "rep", "heavy"]
-    carry: list[np.ndarray] = []  # rows of the last key that are not out yet
-    open_key, open_rep, open_heavy = None, 0, False
 
-    def batch_of(key, cls, info, rep, heavy) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, cls, info, rep, heavy)], names=names)
+    def batch_of(kind: int, a, b, info) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), *[pa.array(np.ascontiguousarray(x)) for x in (a, b, info)]], names=["kind", "a", "b", "info"])
+
+    held: tuple[np.ndarray, ...] | None = None  # rows of the last key, if it may still be cheap
+    dear: int | None = None  # the last key, if it is dear
 
     def groups(key, cls, info, last: bool):
-        """Emits all but the last key's rows, which are carried over (if not last)."""
-        nonlocal carry, open_key, open_rep, open_heavy
-        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        size = np.diff(np.r_[start, len(key)])
+        nonlocal held, dear
         fresh = np.ones(len(key), bool)
         fresh[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
-        distinct = np.add.reduceat(fresh.astype(np.int64), start)
-        rep, heavy = cls[start].copy(), distinct > HEAVY
-        if open_key is not None and key[0] == open_key:
-            rep[0], heavy[0] = open_rep, True  # its first rows are out: it is heavy
-            distinct[0] = HEAVY + 1
-        keep = distinct > 1
-        hold = None
+        key, cls, info = key[fresh], cls[fresh], info[fresh]
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        size = np.diff(np.r_[start, len(key)])
+        heavy = size > HEAVY
+        if dear is not None and key[0] == dear:
+            heavy[0] = True
+        held = None
         if not last:
-            if heavy[-1]:
-                open_key, open_rep = key[-1], rep[-1]
-            else:
-                open_key = None
-                hold = start[-1]
-        rows = np.repeat(keep, size)
-        if hold is not None:
-            rows[hold:] = False
-            carry = [key[hold:], cls[hold:], info[hold:]]
-        else:
-            carry = []
-        return batch_of(key[rows], cls[rows], info[rows], np.repeat(rep, size)[rows], np.repeat(heavy, size)[rows])
+            dear = int(key[-1]) if heavy[-1] else None
+            if dear is None:
+                held = (key[start[-1] :], cls[start[-1] :], info[start[-1] :])
+                start, size, heavy = start[:-1], size[:-1], heavy[:-1]
+        rows = np.repeat(heavy, size)
+        rows = np.flatnonzero(rows)
+        if len(rows):
+            yield batch_of(HEAVY_ROW, key[rows], cls[rows], info[rows])
+        pairs = _light_pairs(key, cls, info, start[~heavy], size[~heavy])
+        for at in range(0, len(pairs[0]), 1 << 18):
+            yield batch_of(PAIR, *[p[at : at + (1 << 18)] for p in pairs])
 
     for b in batches:
         key, cls, info = (c.to_numpy() for c in b.columns)
         sizes = info < 0
         if sizes.any():
-            n = int(sizes.sum())
-            yield batch_of(key[sizes], cls[sizes], info[sizes], cls[sizes], np.zeros(n, bool))
+            yield batch_of(SIZE, cls[sizes], cls[sizes], info[sizes])
             key, cls, info = key[~sizes], cls[~sizes], info[~sizes]
         if not len(key):
             continue
-        if carry:
-            key, cls, info = (np.concatenate(x) for x in zip(carry, (key, cls, info), strict=True))
-        yield groups(key, cls, info, last=False)
-    if carry:
-        yield groups(*carry, last=True)
+        if held is not None:
+            key, cls, info = (np.concatenate(x) for x in zip(held, (key, cls, info), strict=True))
+        yield from groups(key, cls, info, last=False)
+    if held is not None:
+        yield from groups(*held, last=True)
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -417,55 +438,57 @@ def in_filter(bits: np.ndarray, cls: int) -> bool:
 def texts_of(docs: DataFrame, text_col: str, classes: DataFrame) -> DataFrame:
     """(node, cls, text) of the texts whose class is in ``classes``, once each. The filter spares the shuffle most others."""
     near = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(_picker(filter_bits(classes)), "node binary, cls long, text string")
-    return near.join(classes.distinct(), "cls", "left_semi").groupBy("node").agg(F.first("cls").alias("cls"), F.first("text").alias("text"))
+    # Grouped by class first: the join's exchange serves the grouping too.
+    return near.join(classes.distinct(), "cls", "left_semi").groupBy("cls", "node").agg(F.first("text").alias("text")).select("node", "cls", "text")
 
 
 def links(docs: DataFrame, text_col: str, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Links (a, b) between texts by node, enough to make every component; (node, root) of their components; and (cls, n) of all texts."""
     signed = signatures(docs, text_col, k, num, den).repartition("key").sortWithinPartitions("key", "cls")
-    met = written(signed.mapInArrow(_meet, "key long, cls long, info long, rep long, heavy boolean"))
-    sizes = met.where("info < 0").groupBy("cls").agg((-1 - F.min("info")).alias("n"))
-    keys = met.where("info >= 0")
-    light = keys.where(~F.col("heavy"))
+    met = written(signed.mapInArrow(_meet, "kind int, a long, b long, info long"))
+    sizes = met.where(F.col("kind") == SIZE).groupBy(F.col("a").alias("cls")).agg((-1 - F.min("info")).alias("n"))
 
-    # Allocation: who cannot do without its heavy keys.
+    # Allocation: the worth of heavy keys that a set would lose, and who cannot do without them.
     band = F.shiftright("info", _BAND_AT).alias("band")
     segment = F.shiftright("info", _SEGMENT).bitwiseAND(F.lit((1 << (_BAND_AT - _SEGMENT)) - 1))
     flag = lambda bit: F.shiftright("info", bit).bitwiseAND(F.lit(1)).cast("int")
-    heavy = keys.where("heavy")
-    lost = heavy.groupBy("cls", band, segment.alias("segment")).agg(F.max(F.when(flag(_DELETION) == 0, 1 + flag(_ZONE)).otherwise(1)).alias("lost"), F.max(F.col("info").bitwiseAND(F.lit((1 << 20) - 1))).alias("spare"))
-    short = lost.groupBy("cls", "band").agg(F.sum("lost").alias("lost"), F.max("spare").alias("spare")).where("lost > spare").select("cls", "band")
+    heavy = met.where(F.col("kind") == HEAVY_ROW).select(F.col("a").alias("key"), F.col("b").alias("cls"), "info")
+    lost = heavy.groupBy("cls", band, segment.alias("segment")).agg(F.max(F.when(flag(_DELETION) == 0, 1 + flag(_ZONE)).otherwise(1)).alias("lost"), F.max(F.col("info").bitwiseAND(F.lit(_SPARE))).alias("spare"))
+    lost = checkpointed(lost.groupBy("cls", "band").agg(F.sum("lost").alias("lost"), F.max("spare").alias("spare")))
+    short = lost.where("lost > spare").select("cls", "band")
     dear = checkpointed(heavy.select("key", "cls", band).join(short, ["cls", "band"]).select("key", "cls").distinct())
     dear_rep = dear.groupBy("key").agg(F.min("cls").alias("rep"))
-    stars = light.select("rep", "cls").unionByName(dear.join(dear_rep, "key").select("rep", "cls")).where("rep <> cls").distinct()
-    stars = checkpointed(stars)
 
-    # Light keys' sets are candidates too, if the star does not join them.
-    classes = stars.select(F.explode(F.array("rep", "cls")).alias("cls"))
+    # Pairs that meet in cheap keys, and share enough: what they could share in heavy keys is what either loses there.
+    shared = met.where(F.col("kind") == PAIR).groupBy("a", "b", band).agg(F.sum(F.col("info").bitwiseAND(F.lit(3))).alias("worth"), F.max(F.shiftright("info", 2).bitwiseAND(F.lit((1 << (_BAND_AT - 2)) - 1))).alias("need"))
+    of_a, of_b = (lost.select(F.col("cls").alias(c), "band", F.col("lost").alias(f"lost_{c}")) for c in "ab")
+    shared = shared.join(of_a, ["a", "band"], "left").join(of_b, ["b", "band"], "left")
+    shared = shared.where(F.col("worth") + F.least(F.coalesce("lost_a", F.lit(0)), F.coalesce("lost_b", F.lit(0))) >= F.col("need"))
+
+    def of_like_size(pairs: DataFrame) -> DataFrame:
+        """Sets of too different sizes are not linked."""
+        pairs = pairs.join(sizes.select(F.col("cls").alias("x"), F.col("n").alias("nx")), "x").join(sizes.select(F.col("cls").alias("y"), F.col("n").alias("ny")), "y")
+        return pairs.where(den * F.least("nx", "ny") >= num * F.greatest("nx", "ny")).select("x", "y")
+
+    candidates = checkpointed(of_like_size(shared.select(F.col("a").alias("x"), F.col("b").alias("y")).distinct()))
+    dear_stars = of_like_size(dear.join(dear_rep, "key").where("rep <> cls").select(F.col("rep").alias("x"), F.col("cls").alias("y")).distinct())
+    stars = checkpointed(candidates.groupBy("y").agg(F.min("x").alias("x")).select("x", "y").unionByName(dear_stars).distinct())
+
+    classes = candidates.unionByName(stars).select(F.explode(F.array("x", "y")).alias("cls")).unionByName(dear.select("cls"))
     texts = written(texts_of(docs, text_col, classes))
 
     def verified(pairs: DataFrame) -> DataFrame:
         x = texts.select(F.col("cls").alias("x"), F.col("node").alias("a"), F.col("text").alias("ta"))
         y = texts.select(F.col("cls").alias("y"), F.col("node").alias("b"), F.col("text").alias("tb"))
-        # Sets of too different sizes are not linked: their texts need not be fetched.
-        pairs = pairs.join(sizes.select(F.col("cls").alias("x"), F.col("n").alias("nx")), "x").join(sizes.select(F.col("cls").alias("y"), F.col("n").alias("ny")), "y")
-        pairs = pairs.where(den * F.least("nx", "ny") >= num * F.greatest("nx", "ny")).select("x", "y")
         return pairs.join(y, "y").join(x, "x").select("a", "ta", "b", "tb").mapInArrow(_verifier(k, num, den), "a binary, b binary")
 
-    found = checkpointed(verified(stars.select(F.col("rep").alias("x"), F.col("cls").alias("y"))))
-
-    def labels(edges: DataFrame) -> DataFrame:
-        roots = components(edges)
-        return checkpointed(texts.select("node", "cls").join(roots, "node", "left").select("node", "cls", F.coalesce("root", "node").alias("root")))
-
-    rooted = labels(found)
-    # Light keys whose sets are in several components: what has not met yet is compared, at most HEAVY - 1 for each row.
-    members = light.select("key", "rep", "cls").distinct().join(rooted.select("cls", "root"), "cls")
-    open_keys = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    left = members.join(open_keys, "key")
-    other = left.select("key", F.col("cls").alias("y"), F.col("root").alias("root_y"))
-    across = left.where("cls <> rep").join(other, "key").where("cls < y and root <> root_y and y <> rep").select(F.col("cls").alias("x"), "y").distinct()
-    more = verified(across.join(stars, (F.col("rep") == F.col("x")) & (F.col("cls") == F.col("y")), "left_anti"))
+    # First each set against the smallest that it meets; then those that are in different components still.
+    found = checkpointed(verified(stars))
+    roots = components(found)
+    rooted = checkpointed(texts.select("node", "cls").join(roots, "node", "left").select("node", "cls", F.coalesce("root", "node").alias("root")))
+    root_x, root_y = (rooted.select(F.col("cls").alias(c), F.col("root").alias(f"root_{c}")) for c in "xy")
+    across = candidates.join(stars, ["x", "y"], "left_anti").join(root_x, "x").join(root_y, "y").where("root_x <> root_y").select("x", "y").distinct()
+    more = verified(across)
 
     # Pairs of sets that both need their heavy keys: groups that such keys hold together, in blocks.
     groups = components(dear.join(dear_rep, "key").select(F.col("rep").alias("a"), F.col("cls").alias("b")))
