@@ -157,5 +157,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
 
 def keep_clean(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows that pass the base rule and the table, with their own columns only."""
-    df = _with_counts(docs, text_col)
-    return df.where(~base_failed() & (F.size(compile_rules(rules)) == 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    df = _with_counts(docs, text_col).withColumn("__q_kept", ~base_failed() & (F.size(compile_rules(rules)) == 0))
+    # A filter would be pushed below the projections, and all counts computed again in its condition for each use;
+    # it is not pushed below a column that is not deterministic.
+    df = df.withColumn("__q_task", F.spark_partition_id())
+    return df.where("__q_kept and __q_task >= 0").select(*[F.col(f"`{c}`") for c in docs.columns])
