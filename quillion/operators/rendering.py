@@ -168,3 +168,65 @@ def answer_text(parts: Column) -> Column:
 
 def prompt(template: Column, definition: Column, cluster: Column) -> Column:
     return F.replace(F.replace(template, F.lit("{{DEFINITION_REQUIREMENT}}"), definition), F.lit("{{CLUSTER_REQUIREMENT}}"), cluster)
+
+
+#: How sure a region is.
+CONFIDENCE = {"page number": 0.9, "header": 0.95, "footer": 0.92, "footnote": 0.82, "figure": 0.78, "formula": 0.84, "body": 1.0}
+
+
+def regions(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``region`` and ``confidence``, by the first rule that holds.
+
+    ``lines``: geometry, column, body_size, separator and start (either may be
+    null), and flags is_header, is_footer (repeated marginalia) and is_formula.
+    Once a column has a footnote, later small lines there need no marker; only a
+    line that is a footnote by itself can be the first, so the zone is a running
+    maximum, not a loop.
+    """
+    c = tx.clean_text(F.col("text"))
+    number = layout.is_page_number(lines)
+    header = (F.col("y0") < F.col("height") * 0.12) & F.col("is_header")
+    footer = (F.col("y1") >= F.col("height") * 0.9) & (F.col("is_footer") | c.rlike(layout.FOOTER_NUMBER))
+    small = (F.col("body_size") > 0) & (F.col("size") < F.col("body_size") * 0.92)
+    below = F.coalesce(F.col("y0") > F.col("separator"), F.lit(False))
+    may = ~(below & ~small) & (below | ((F.col("y0") > F.col("height") * 0.72) & small))
+    side = F.when(F.col("column").isin(0, 1), F.col("column")).otherwise(-1)
+    rows = lines.withColumns({"margin": F.when(number, "page number").when(header, "header").when(footer, "footer"), "alone": is_footnote(lines), "may": may, "side": side})
+    before = Window.partitionBy(*PAGE, "side").orderBy(layout.y_key(F.col("y0")), "x0", "line").rowsBetween(Window.unboundedPreceding, -1)
+    zone = F.coalesce(F.max(F.col("margin").isNull() & F.col("alone")).over(before), F.lit(False))
+    rows = rows.withColumn("zone", zone)
+    rule = F.coalesce("margin", F.when(F.col("alone") | (F.col("may") & F.col("zone")), "footnote").when(c.rlike(layout.CAPTION), "figure").when(F.col("is_formula"), "formula").otherwise("body"))
+    sure = F.create_map(*[F.lit(x) for kv in CONFIDENCE.items() for x in kv])
+    rows = rows.withColumn("rule", rule)
+    return rows.withColumns({"region": F.when(F.col("rule") == "page number", "footer").otherwise(F.col("rule")), "confidence": sure[F.col("rule")]}).drop("margin", "alone", "may", "side", "zone", "rule")
+
+
+def inline_markers(spans: DataFrame, numeric_bibliography: Column) -> DataFrame:
+    """(…, kind, marker, confidence) of spans that are citations, note references, indexes or plain numbers.
+
+    ``spans``: doc_id, page, line, k, text, size, y0, y1, line_size, line_y0, line_y1, body_size, region, role, density. The neighbours are the
+    spans with text before and after on the line.
+    """
+    c = tx.clean_text(F.col("text"))
+    w = Window.partitionBy("doc_id", "page", "line").orderBy("k")
+    full = lambda x: F.when(c != "", x)
+    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    rows = spans.withColumns(
+        {
+            "c": c, "p": F.last(full(c), ignorenulls=True).over(before), "p_y0": F.last(full(F.col("y0")), ignorenulls=True).over(before), "p_role": F.last(full(F.coalesce("role", F.lit(""))), ignorenulls=True).over(before), "n": F.first(full(c), ignorenulls=True).over(after),
+        }
+    )
+    c, height = F.col("c"), F.col("line_y1") - F.col("line_y0")
+    bracket = F.regexp_extract(c, r"^\[(\d{1,4})\]$", 1)
+    level = ((F.col("size") == 0) | (F.col("line_size") == 0) | (F.abs(F.col("size") - F.col("line_size")) <= F.col("line_size") * 0.12)) & (F.col("y1") >= F.col("line_y0") + height * 0.7)
+    note = c.rlike(r"^\d{1,3}$|^[*†‡§]$")
+    lower = F.col("p").isNotNull() & (F.col("size") < F.col("line_size") * 0.9) & (F.col("y0") > F.col("p_y0") + F.greatest(F.lit(0.8), height * 0.08))
+    index = lower & ((F.col("p_role") == "math") | F.col("p").rlike(r"(?:[A-Z]|\bPr|\(NC|\bNC)$") | F.col("p").isin("H", "E", "K", "Pr", "c", "r", "l", "∼H") | F.coalesce(F.col("n").rlike(r"^[)\]]"), F.lit(False)))
+    raised = (F.col("region") == "body") & (F.coalesce("role", F.lit("")) != "math") & (F.col("density") <= 0.18) & ~F.coalesce(index, F.lit(False)) & (F.col("size") < F.col("line_size") * 0.88) & ((F.col("body_size") == 0) | (F.col("size") < F.col("body_size") * 0.88)) & (F.col("y1") <= F.col("line_y0") + height * 0.72)
+    made = lambda kind, marker, sure: F.struct(F.lit(kind).alias("kind"), marker.alias("marker"), sure.cast("double").alias("confidence"))
+    found = (
+        F.when((bracket != "") & level, made("bibliographic_citation", bracket, F.when(numeric_bibliography, 0.95).otherwise(0.75))).when(note & raised, made("note_ref", c, F.lit(0.9)))
+        .when(note & F.coalesce(index, F.lit(False)), made("plain_number", c, F.lit(0.85))).when(c.rlike(r"^\d+$"), made("plain_number", c, F.lit(0.8)))
+    )
+    rows = rows.withColumn("found", found).where("found is not null")
+    return rows.select("doc_id", "page", "line", "k", "found.*")

@@ -125,3 +125,26 @@ def k8_l7_n6_texts(spark, sf_dir):
     md = F.concat(F.lit("---\nold: 1\n---\n\n"), F.col("text"))
     parts = F.expr("if(doc_id % 2 = 0, array(named_struct('type', 'text', 'text', source), named_struct('type', 'tool', 'text', 'x'), named_struct('type', 'output_text', 'text', lang)), array(named_struct('type', 'text', 'text', '')))")
     return docs.select("doc_id", rendering.imported_note(md, F.col("source"), F.lit("a.pdf"), F.lit("2020")).alias("note"), rendering.prompt(F.lit("Say {{DEFINITION_REQUIREMENT}} Use {{CLUSTER_REQUIREMENT}}."), F.lit("one."), F.col("lang")).alias("prompt"), rendering.answer_text(parts).alias("answer"))
+
+
+@query(
+    "p5_a24_regions",
+    f"""with {_LINES}, c as (select *, {_CLEAN} as t, size < 9.2 as small, y0 > 500 as below from lines),
+f as (select *, case when (y0 < 96 or y1 > 704) and regexp_matches(t, '^[-–—]?\\s*\\d{{1,4}}\\s*[-–—]?$') then 'page number' when y0 < 96 and line % 24 = 0 then 'header' when y1 >= 720 and (line % 36 = 35 or regexp_matches(t, '^[-–—]?\\s*\\d+\\s*[-–—]?$')) then 'footer' end as margin,
+not (below and not small) and (below or (y0 > 576 and small)) as may, regexp_matches(t, '^\\s*(?:\\d{{1,3}}(?:[.)]\\s*|\\s+[A-Z“"''(]|[A-Z“"''(])|[*†‡§](?:\\s+|[.)])?)') or (page = 1 and y0 > 576 and small and regexp_matches(t, '(?i)^\\s*(?:date|received|accepted|published|copyright)\\b')) as mark from c),
+z as (select *, coalesce(bool_or(margin is null and may and mark) over (partition by doc_id, page order by round_even(y0 / 2.0, 0) * 2.0, x0, line rows between unbounded preceding and 1 preceding), false) as zone from f),
+r as (select *, coalesce(margin, case when may and (mark or zone) then 'footnote' when regexp_matches(t, '(?i)^\\s*(?:(fig(?:ure)?|table)\\s+\\d+\\s*[:.])') then 'figure' when line % 7 = 5 then 'formula' else 'body' end) as rule from z)
+select doc_id, line, case when rule = 'page number' then 'footer' else rule end as region, (case rule when 'page number' then 0.9 when 'header' then 0.95 when 'footer' then 0.92 when 'footnote' then 0.82 when 'figure' then 0.78 when 'formula' then 0.84 else 1.0 end)::double as confidence from r""",
+)
+def p5_a24_regions(spark, sf_dir):
+    flags = {"column": F.lit(0), "body_size": F.lit(10.0), "separator": F.lit(500.0), "start": F.lit(None).cast("double"), "is_header": F.col("line") % 24 == 0, "is_footer": F.col("line") % 36 == 35, "is_formula": F.col("line") % 7 == 5}
+    return rendering.regions(_lines(spark, sf_dir).drop("region").withColumns(flags)).select("doc_id", "line", "region", "confidence")
+
+
+@query("a23_p15_inline_markers")
+def a23_p15_inline_markers(spark, sf_dir):
+    words = _lines(spark, sf_dir).select("doc_id", "page", "line", F.posexplode(F.split(F.concat("text", F.lit(" [12] 3 H 2 )")), " ")).alias("k", "text"))
+    raised = F.col("text") == "3"
+    lowered = F.col("text") == "2"
+    spans = words.withColumns({"size": F.when(raised | lowered, 6.0).otherwise(10.0), "y0": F.when(lowered, 104.0).otherwise(100.0), "y1": F.when(raised, 105.0).otherwise(110.0), "line_size": F.lit(10.0), "line_y0": F.lit(100.0), "line_y1": F.lit(110.0), "body_size": F.lit(10.0), "region": F.lit("body"), "role": F.lit(""), "density": F.lit(0.0)})
+    return rendering.inline_markers(spans, F.col("doc_id") % 2 == 0)
