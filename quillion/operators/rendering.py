@@ -157,7 +157,7 @@ def imported_note(md: Column, title: Column, source: Column, at: Column) -> Colu
     from quillion.operators.glossary import scalar
 
     body = rewrite(md, (r"(?s)\A---\n.*?\n---\n*", ""), (r"^\s+|\s+\z", ""))
-    return F.concat(F.lit("---\ntitle: "), scalar(title), F.lit("\nsource_pdf: "), scalar(source), F.lit("\nimported_at: "), scalar(at), F.lit("\nphilosophy_reader: true\n---\n"), body, F.lit("\n"))
+    return F.concat(F.lit("---\ntitle: "), scalar(title), F.lit("\nsource_pdf: "), scalar(source), F.lit("\nimported_at: "), scalar(at), F.lit("\nimported_paper: true\n---\n"), body, F.lit("\n"))
 
 
 def answer_text(parts: Column) -> Column:

@@ -117,7 +117,7 @@ def k17_references(spark, sf_dir):
 
 @query(
     "k8_l7_n6_texts",
-    """select doc_id, '---' || chr(10) || 'title: ' || to_json(source)::varchar || chr(10) || 'source_pdf: "a.pdf"' || chr(10) || 'imported_at: "2020"' || chr(10) || 'philosophy_reader: true' || chr(10) || '---' || chr(10) || regexp_replace(text, '^\\s+|\\s+$', '', 'g') || chr(10) as note,
+    """select doc_id, '---' || chr(10) || 'title: ' || to_json(source)::varchar || chr(10) || 'source_pdf: "a.pdf"' || chr(10) || 'imported_at: "2020"' || chr(10) || 'imported_paper: true' || chr(10) || '---' || chr(10) || regexp_replace(text, '^\\s+|\\s+$', '', 'g') || chr(10) as note,
 'Say one. Use ' || lang || '.' as prompt, case when doc_id % 2 = 0 then source || chr(10) || lang else null end as answer from documents""",
 )
 def k8_l7_n6_texts(spark, sf_dir):
