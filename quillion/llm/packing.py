@@ -17,6 +17,8 @@ any length are tokenized whole.
 from __future__ import annotations
 
 import bisect
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,6 +30,7 @@ from pyspark.sql import types as T
 
 from quillion.llm.batches import steps
 from quillion.llm.cluster import checkpointed, numbered, part_of
+from quillion.llm.piece_bpe import PairTable
 
 #: Words whose ids a worker keeps; the table starts anew when it is full.
 KEPT_WORDS = 1 << 19
@@ -100,31 +103,87 @@ def places(patterns: list[tuple[int, Pattern]], room: int) -> dict[str, np.ndarr
     return dict(zip(("length", "first", "sequence", "copies", "offset"), cols, strict=True))
 
 
-class WordIds(dict):
-    """A run of other characters than space and line ends -> its ids as little-endian unsigned 32-bit numbers.
+def byte_characters() -> list[str]:
+    """The characters that stand for bytes in byte-level vocabularies: visible Latin-1 for itself, the rest from U+0100 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in visible]
+    return [chr(b) if b in visible else chr(256 + others.index(b)) for b in range(256)]
+
+
+class WordIds:
+    """Ids of texts by a byte-level vocabulary with word ends, as the tokenizers library gives them.
 
     The tokenizer drops white space and never joins what stands on both sides
-    of it, so a text's ids are those of such runs, one after the other.
+    of it, so a text's ids are those of its runs of other characters. In the
+    same way a run's ids are those of the parts that the tokenizer's pattern
+    cuts it into. New parts of a step are merged all at once, as the rows of a
+    matrix; a run with characters beyond the Latin letters, or that could hold
+    a special token, goes to the library whole.
     """
 
+    #: The pattern in the tokenizer's file; letters and digits are those below U+0250.
+    PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+    #: Latin characters that Python and the tokenizer class or lower alike; numerals such as ² are not among them.
+    PLAIN = re.compile(r"[!-;=-~À-ÖØ-öø-ĭĲ-ƺǍ-ɏ]+")
+    LONG = 64
+    ROWS = 1 << 14
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self[""] = b""
-
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        if len(self) > KEPT_WORDS:
-            self.clear()
-            self[""] = b""
-        return b"".join([self[w] for w in text.replace("\n", " ").split(" ")])
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab, end = model["vocab"], model["end_of_word_suffix"]
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        self.pairs = PairTable(*np.array([(vocab[a], vocab[b], r, vocab[a + b]) for r, (a, b) in enumerate(merges)], np.int64).T)
+        self.inner = np.array([vocab[c] for c in byte_characters()], np.int32)
+        self.last = np.array([vocab[c + end] for c in byte_characters()], np.int32)
+        self.words: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {}
+
+    def _of_parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts of at most LONG characters, merged together."""
+        out: list[bytes] = [b""] * len(parts)
+        raw = [p.encode() for p in parts]
+        order = sorted(range(len(parts)), key=lambda i: len(raw[i]))
+        for at in range(0, len(order), self.ROWS):
+            rows = order[at : at + self.ROWS]
+            size = np.array([len(raw[i]) for i in rows])
+            inside = np.arange(int(size.max())) < size[:, None]
+            symbols = np.full(inside.shape, -1, np.int32)
+            symbols[inside] = self.inner[np.frombuffer(b"".join([raw[i] for i in rows]), np.uint8)]
+            ends = np.array([raw[i][-1] for i in rows])
+            symbols[np.arange(len(rows)), size - 1] = self.last[ends]
+            symbols, _, size = self.pairs.merge(symbols, size)
+            stored, wide = symbols.astype("<u4").tobytes(), 4 * symbols.shape[1]
+            for k, (i, n) in enumerate(zip(rows, size.tolist(), strict=True)):
+                out[i] = stored[k * wide : k * wide + 4 * n]
+        return out
+
+    def _by_library(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit numbers."""
+        if len(self.words) > KEPT_WORDS:
+            self.words = {"": b""}
+        if len(self.parts) > KEPT_WORDS:
+            self.parts = {}
+        cut = [t.replace("\n", " ").split(" ") for t in texts]
+        new = set().union(*cut).difference(self.words)
+        plain = {w: self.PARTS.findall(w.lower()) for w in new if self.PLAIN.fullmatch(w)}
+        fresh = list({p for ps in plain.values() for p in ps}.difference(self.parts))
+        short = [p for p in fresh if len(p) <= self.LONG]
+        parts = self.parts
+        parts.update(zip(short, self._of_parts(short), strict=True))
+        long = {p: self._by_library(p) for p in fresh if len(p) > self.LONG}
+        found = {w: b"".join([parts[p] if p in parts else long[p] for p in ps]) for w, ps in plain.items()}
+        found |= {w: self._by_library(w) for w in new if w not in plain}
+        kept = {w: i for w, i in found.items() if len(w) <= self.LONG}
+        self.words |= kept
+        words = self.words if len(kept) == len(found) else self.words | found
+        return [b"".join([words[w] for w in ws]) for ws in cut]
 
 
 _words: dict[str, WordIds] = {}
@@ -143,8 +202,8 @@ def pieces(docs: DataFrame, path: str, room: int, id_col: str = "doc_id", text_c
         for batch in batches:
             for part in steps(batch, 1):
                 at, start, length, crc, total, ids = [], [], [], [], [], []
-                for i, text in enumerate(part.column(1).to_pylist()):
-                    coded = words.encode(text or "") + end
+                for i, coded in enumerate(words.encode([t or "" for t in part.column(1).to_pylist()])):
+                    coded += end
                     n = len(coded) // 4
                     for s in range(0, n, room):
                         piece = coded[4 * s : 4 * (s + room)]

@@ -64,6 +64,55 @@ class PairTable:
             open_ = open_[(self.keys[slot[open_]] != key[open_]) & (self.keys[slot[open_]] != -1)]
         return self.rank[slot].reshape(shape), self.union[slot].reshape(shape)
 
+    def merge(self, symbols: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols, their widths in characters, and their number in each row, when no pair is left to merge."""
+        symbols, size = symbols.copy(), size.copy()
+        width = np.where(symbols >= 0, 1, 0).astype(np.int32)
+        end_symbols, end_width = symbols.copy(), width.copy()
+        rank, union = self._ranked(symbols)
+        alive = np.arange(len(symbols))
+        while len(alive):
+            best = rank.argmin(1)
+            row = np.arange(len(alive))
+            going = rank[row, best] != NONE
+            if not going.all():
+                done = alive[~going]
+                end_symbols[done, : symbols.shape[1]], end_width[done, : symbols.shape[1]] = symbols[~going], width[~going]
+                end_symbols[done, symbols.shape[1] :], end_width[done, symbols.shape[1] :] = -1, 0
+                alive, symbols, width, rank, union, best = (x[going] for x in (alive, symbols, width, rank, union, best))
+                if not len(alive):
+                    break
+                row = np.arange(len(alive))
+            # The pair becomes its union; what follows moves up by one.
+            symbols[row, best] = union[row, best]
+            width[row, best] += width[row, best + 1]
+            size[alive] -= 1
+            cols = np.arange(symbols.shape[1] - 1)
+            move = cols + (cols > best[:, None])
+            symbols, width = np.take_along_axis(symbols, move, 1), np.take_along_axis(width, move, 1)
+            if symbols.shape[1] == 1:
+                end_symbols[alive, 0], end_width[alive, 0] = symbols[:, 0], width[:, 0]
+                end_symbols[alive, 1:], end_width[alive, 1:] = -1, 0
+                break
+            cols = cols[:-1]
+            move = cols + (cols > best[:, None])
+            rank, union = np.take_along_axis(rank, move, 1), np.take_along_axis(union, move, 1)
+            # A row that was full ends one earlier now: its last column is past the end.
+            for at in (best - 1, best):
+                ok = np.flatnonzero((at >= 0) & (at < rank.shape[1]))
+                r, c = row[ok], at[ok]
+                rank[r, c], union[r, c] = self._pair(symbols[r, c], symbols[r, c + 1])
+        return end_symbols, end_width, size
+
+    def _pair(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rank, union = self.find(np.maximum(a, 0), np.maximum(b, 0))
+        return np.where((a >= 0) & (b >= 0), rank, NONE), union
+
+    def _ranked(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if symbols.shape[1] == 1:
+            return np.full(symbols.shape, NONE, np.int32), np.zeros(symbols.shape, np.int32)
+        return self._pair(symbols[:, :-1], symbols[:, 1:])
+
 
 class PieceModel:
     def __init__(self, path: str):
@@ -171,53 +220,7 @@ class PieceModel:
         return points, np.where(inside, self.symbol_of[points], -1), size
 
     def merged(self, symbols: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Symbols, their widths in characters, and their number in each row, when no pair is left to merge."""
-        symbols, size = symbols.copy(), size.copy()
-        width = np.where(symbols >= 0, 1, 0).astype(np.int32)
-        end_symbols, end_width = symbols.copy(), width.copy()
-        rank, union = self._ranked(symbols)
-        alive = np.arange(len(symbols))
-        while len(alive):
-            best = rank.argmin(1)
-            row = np.arange(len(alive))
-            going = rank[row, best] != NONE
-            if not going.all():
-                done = alive[~going]
-                end_symbols[done, : symbols.shape[1]], end_width[done, : symbols.shape[1]] = symbols[~going], width[~going]
-                end_symbols[done, symbols.shape[1] :], end_width[done, symbols.shape[1] :] = -1, 0
-                alive, symbols, width, rank, union, best = (x[going] for x in (alive, symbols, width, rank, union, best))
-                if not len(alive):
-                    break
-                row = np.arange(len(alive))
-            # The pair becomes its union; what follows moves up by one.
-            symbols[row, best] = union[row, best]
-            width[row, best] += width[row, best + 1]
-            size[alive] -= 1
-            cols = np.arange(symbols.shape[1] - 1)
-            move = cols + (cols > best[:, None])
-            symbols, width = np.take_along_axis(symbols, move, 1), np.take_along_axis(width, move, 1)
-            if symbols.shape[1] == 1:
-                end_symbols[alive, 0], end_width[alive, 0] = symbols[:, 0], width[:, 0]
-                end_symbols[alive, 1:], end_width[alive, 1:] = -1, 0
-                break
-            cols = cols[:-1]
-            move = cols + (cols > best[:, None])
-            rank, union = np.take_along_axis(rank, move, 1), np.take_along_axis(union, move, 1)
-            # A row that was full ends one earlier now: its last column is past the end.
-            for at in (best - 1, best):
-                ok = np.flatnonzero((at >= 0) & (at < rank.shape[1]))
-                r, c = row[ok], at[ok]
-                rank[r, c], union[r, c] = self._pair(symbols[r, c], symbols[r, c + 1])
-        return end_symbols, end_width, size
-
-    def _pair(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        rank, union = self.pairs.find(np.maximum(a, 0), np.maximum(b, 0))
-        return np.where((a >= 0) & (b >= 0), rank, NONE), union
-
-    def _ranked(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if symbols.shape[1] == 1:
-            return np.full(symbols.shape, NONE, np.int32), np.zeros(symbols.shape, np.int32)
-        return self._pair(symbols[:, :-1], symbols[:, 1:])
+        return self.pairs.merge(symbols, size)
 
     def _merge_rows(self, texts: list[str]) -> list[list[int]]:
         _, symbols, size = self.matrix(texts)
