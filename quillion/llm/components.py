@@ -2,11 +2,45 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillion.llm.cluster import checkpointed
 
+#: Links up to this number (about 100 MB of memory) are joined by one executor task; more take rounds over the whole cluster.
+ONE_TASK = 1 << 20
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) by union-find; the smaller of two roots stays."""
+    parent: dict = {}
+    kind = None
+
+    def top(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for b in batches:
+        kind = b.schema.field(0).type
+        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if x is None or y is None:
+                continue
+            parent.setdefault(x, x)
+            parent.setdefault(y, y)
+            x, y = top(x), top(y)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+    nodes = list(parent)
+    for at in range(0, len(nodes), 1 << 16):
+        part = nodes[at : at + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(part, kind), pa.array([top(x) for x in part], kind)], names=["node", "root"])
+
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of an edge; ``root`` is the smallest node that it reaches.
@@ -15,8 +49,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     neighbours, then its smaller ones, to the smallest of them, until stars are
     left. A step is a groupBy whose minimum is combined before the shuffle, so
     a node of many links is not gathered. Null ends are ignored; loops and
-    repeated links change nothing.
+    repeated links change nothing. Few links (ONE_TASK) need no rounds. ``edges``
+    is read several times and should be checkpointed.
     """
+    kind = edges.schema[a].dataType
+    if edges.count() <= ONE_TASK:
+        return edges.select(a, b).coalesce(1).mapInArrow(_forest, T.StructType([T.StructField("node", kind), T.StructField("root", kind)]))
     pair = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull())
     nodes = pair.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     links = checkpointed(pair.where("u <> v").distinct())

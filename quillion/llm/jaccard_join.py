@@ -491,7 +491,7 @@ def links(docs: DataFrame, text_col: str, k: int, num: int, den: int) -> tuple[D
     more = verified(across)
 
     # Pairs of sets that both need their heavy keys: groups that such keys hold together, in blocks.
-    groups = components(dear.join(dear_rep, "key").select(F.col("rep").alias("a"), F.col("cls").alias("b")))
+    groups = components(checkpointed(dear.join(dear_rep, "key").select(F.col("rep").alias("a"), F.col("cls").alias("b")).distinct()))
     dense = groups.select(F.col("node").alias("cls"), F.col("root").alias("grp")).join(rooted, "cls").select("grp", "node", "cls", "root")
     several = dense.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("grp")
     dense = checkpointed(dense.join(several, "grp"))
