@@ -140,8 +140,9 @@ class Bands:
         return np.searchsorted(self.upper, size)
 
     def spare(self, size: np.ndarray, band: np.ndarray) -> np.ndarray:
-        """Worth that a set can lose: all segments' worth, less one more than the differences that it can have from a set of the band."""
-        most = np.minimum(self.upper[band], size * self.den // self.num)
+        """Worth that a set can lose: all segments' worth, less one more than the differences that it can have from a set that signs in the band."""
+        # A set that reaches down meets sets of the band; one in its own band also larger ones, which reach down to it.
+        most = np.where(size > self.upper[band], self.upper[band], size * self.den // self.num)
         differences = (self.den - self.num) * (size + most) // (self.den + self.num)
         return self.segments[band] + self.zone[band] - differences - 1
 

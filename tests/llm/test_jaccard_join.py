@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from quillion.llm import jaccard_join
@@ -74,3 +75,30 @@ def test_long_text_without_links(spark):
     long = " ".join(f"w{i}" for i in range(30_000))
     near = long.replace("w15000 ", "x ")
     assert run(spark, [(1, long), (2, near), (3, "w1 w2 w3 w4")], 5, 80, 100) == [(1, 29996, 1), (2, 29996, 1), (3, 1, 3)]
+
+
+@pytest.mark.parametrize(("num", "den"), [(85, 100), (80, 100)])
+def test_linked_sets_near_a_band_edge_share_what_they_need(num, den):
+    bands = jaccard_join.Bands(num, den)
+    for edge in bands.upper[bands.upper < 400].tolist():
+        for x in range(max(1, edge - 12), edge + 13):
+            for y in range(x, x * den // num + 1):
+                common = -(-num * (x + y) // (den + num))  # the fewest that link them
+                if common > x:
+                    continue
+                of_x, of_y = bands.of(np.array([x, y]))
+                assert of_y - of_x <= 1
+                at = np.array([of_x, of_x])  # the smaller set's band, to which the larger reaches down
+                need = bands.spare(np.array([x, y]), at).max() + 1
+                assert bands.segments[of_x] + bands.zone[of_x] - (x + y - 2 * common) >= need, (x, y, common)
+
+
+def extended(k, sizes, times):
+    """Pairs of a text and the same with words appended, by the numbers of their shingles."""
+    return [(" ".join(w[: x + k - 1]), " ".join(w)) for x, y in sizes for i in range(times) for w in [[f"t{x}x{i}x{j}" for j in range(y + k - 1)]]]
+
+
+def test_short_texts_and_the_same_extended(spark):
+    pairs = extended(4, [(6, 7), (17, 20), (40, 47), (6, 8), (17, 21)], 8)
+    rows = list(enumerate(t for p in pairs for t in p))
+    assert run(spark, rows, 4, 85, 100) == brute(rows, 4, 85, 100)
