@@ -102,3 +102,9 @@ def test_short_texts_and_the_same_extended(spark):
     pairs = extended(4, [(6, 7), (17, 20), (40, 47), (6, 8), (17, 21)], 8)
     rows = list(enumerate(t for p in pairs for t in p))
     assert run(spark, rows, 4, 85, 100) == brute(rows, 4, 85, 100)
+
+
+def test_one_of_short_texts_and_the_same_extended_stays(spark):
+    pairs = extended(5, [(13, 16), (12, 15), (8, 10), (16, 20), (24, 30)], 8)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(t for p in pairs for t in p)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in jaccard_join.keep_one_of_each(docs).collect()) == list(range(0, 2 * len(pairs), 2))
