@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from quillion.functions import formula
 
 
@@ -38,3 +39,11 @@ def test_rendering(of):
 )
 def test_detection(of, text, want):
     assert of(formula.is_likely_math, text) is want
+
+
+def test_formulas_after_the_30th_character(spark, tmp_path):
+    line = "aaaaaaaaaa bbbbbbbbbb cccccccccc " + " ".join(["α=β"] * 12)
+    spark.createDataFrame([(0, line)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    latex = __spark_entry__.queries()["f22_f24_latex"](spark, str(tmp_path)).first()
+    assert latex.inline.count(r"\alpha") == latex.display.count(r"\beta") == 12
+    assert __spark_entry__.queries()["f27_f28_display_lines"](spark, str(tmp_path)).first().formula
