@@ -128,14 +128,15 @@ def held_out(id_col: str) -> Column:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Classifier | None:
     """Learns from rows with a label that are not held out."""
     labelled = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    # Copies are one text: distinct texts are counted, not rows.
+    hashed = labelled.withColumn("h", F.xxhash64("text"))
+    sizes = {r.lang: r.n for r in hashed.groupBy("lang").agg(F.countDistinct("h").alias("n")).collect()}  # a row for each language
     if not sizes:
         return None
     # Candidates by hash of the text: enough of each language, and as few for any number of rows; copies are one.
     share = F.lit(1.0)
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, 4.0 * SAMPLE / n))).otherwise(share)
-    hashed = labelled.withColumn("h", F.xxhash64("text"))
     candidates = hashed.where(F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53)) < share).dropDuplicates(["lang", "h"])
     bits = keyed_map(candidates, ["lang", "h"], "text", lambda t: {"bits": pa.array([b.tobytes() for b in np.packbits(_bits(t), axis=1)], pa.binary())}, [("bits", "binary")])
     from pyspark.sql import Window

@@ -135,6 +135,15 @@ def test_language_odd_rows(spark, docs):
     assert langid.train(docs.limit(0)) is None and langid.predict(docs.limit(0), None).count() == 0
 
 
+def test_language_is_learned_from_distinct_texts(spark, monkeypatch):
+    learned = []
+    monkeypatch.setattr(langid, "learn", lambda rows, languages: learned.extend(languages))
+    docs = spark.range(60_000).selectExpr("id as doc_id", "concat('word ', repeat(char(97 + id % 20), 3), ' ', repeat(char(97 + id div 20 % 15), 4)) as text", "'en' as lang")
+    langid.train(docs)
+    assert len(learned) == langid.SAMPLE
+
+
+
 # ---- 3 packing
 
 
