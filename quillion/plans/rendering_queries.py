@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillion.operators import layout, rendering
 from quillion.plans import sql
-from quillion.plans.layout_queries import _CLEAN, _LINES, _RANK, _lines
+from quillion.plans.layout_queries import _CLEAN, _LINES, _RANK, _lines, _whole_lines
 from quillion.plans.registry import query
 from quillion.session import table
 
@@ -111,7 +111,7 @@ def k16_u4_notes(spark, sf_dir):
 
 @query("k17_references")
 def k17_references(spark, sf_dir):
-    lines = _lines(spark, sf_dir).withColumn("text", F.when(F.col("line") == 0, "References").otherwise(F.col("text")))
+    lines = _whole_lines(spark, sf_dir).withColumn("text", F.when(F.col("line") == 0, "References").otherwise(F.col("text")))
     return rendering.render_references(layout.reference_entries(lines))
 
 
@@ -143,7 +143,7 @@ def p5_a24_regions(spark, sf_dir):
 
 @query("a23_p15_inline_markers")
 def a23_p15_inline_markers(spark, sf_dir):
-    words = _lines(spark, sf_dir).select("doc_id", "page", "line", F.posexplode(F.split(F.concat("text", F.lit(" [12] 3 H 2 )")), " ")).alias("k", "text"))
+    words = _whole_lines(spark, sf_dir).select("doc_id", "page", "line", F.posexplode(F.split(F.concat("text", F.lit(" [12] 3 H 2 )")), " ")).alias("k", "text"))
     raised = F.col("text") == "3"
     lowered = F.col("text") == "2"
     spans = words.withColumns({"size": F.when(raised | lowered, 6.0).otherwise(10.0), "y0": F.when(lowered, 104.0).otherwise(100.0), "y1": F.when(raised, 105.0).otherwise(110.0), "line_size": F.lit(10.0), "line_y0": F.lit(100.0), "line_y1": F.lit(110.0), "body_size": F.lit(10.0), "region": F.lit("body"), "role": F.lit(""), "density": F.lit(0.0)})
