@@ -2,15 +2,31 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
+import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text (or of stored media) that one step of an operator holds decoded at once; a longer single value stands alone.
 STEP_BYTES = 4 << 20
+#: Bytes of one Arrow batch between Spark and Python.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by bytes; 10,000 long rows would otherwise be held several times over.
+
+    A smaller bound that the session has already is left alone. Results do not depend on it.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    value, unit = re.fullmatch(r"(\d+)\s*([kmg]?)i?b?", spark.conf.get(name).strip().lower()).groups()
+    if int(value) << 10 * " kmg".index(unit or " ") > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def steps(batch: pa.RecordBatch, column: int, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
@@ -26,6 +42,34 @@ def steps(batch: pa.RecordBatch, column: int, limit: int = STEP_BYTES) -> Iterat
         yield batch.slice(start)
 
 
+def released(run: Callable, forget: Callable[[], None] | None = None) -> Callable:
+    """``run`` over a task's batches; at its end the worker, which Spark keeps for later tasks, gives back what it held.
+
+    ``forget`` drops tables that are worth less than their memory beyond a task.
+    """
+
+    def of_task(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            if forget is not None:
+                forget()
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                try:
+                    ctypes.CDLL(None).malloc_trim(0)
+                except AttributeError:  # another libc
+                    pass
+
+    return of_task
+
+
+def array_steps(values: pa.Array) -> Iterator[pa.Array]:
+    """Zero-copy slices of ``values`` of about STEP_BYTES at most."""
+    for part in steps(pa.RecordBatch.from_arrays([values], names=["value"]), 0):
+        yield part.column(0)
+
+
 def keyed_map(df: DataFrame, keys: list[str], value: str, fn: Callable[[pa.Array], dict[str, pa.Array]], fields: list[tuple[str, str]], limit: int = STEP_BYTES) -> DataFrame:
     """Rows (keys, outputs of ``fn`` over ``value``); ``fn`` gets an Arrow array and gives equally long arrays by name.
 
@@ -45,5 +89,6 @@ def keyed_map(df: DataFrame, keys: list[str], value: str, fn: Callable[[pa.Array
                 out = fn(part.column(n_keys))
                 yield pa.RecordBatch.from_arrays([*part.columns[:n_keys], *[out[n] for n in names]], names=schema.names)
 
-    done = inner.mapInArrow(run, schema)
+    bound_batches(df.sparkSession)
+    done = inner.mapInArrow(released(run), schema)
     return done.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], *[F.col(f"o{i}").alias(n) for i, n in enumerate(names)])

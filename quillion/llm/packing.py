@@ -17,6 +17,7 @@ any length are tokenized whole.
 from __future__ import annotations
 
 import bisect
+import itertools
 import json
 import re
 import zlib
@@ -24,16 +25,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillion.llm.batches import steps
+from quillion.llm.batches import bound_batches, released, steps
 from quillion.llm.cluster import checkpointed, numbered, part_of
 from quillion.llm.piece_bpe import PairTable
 
-#: Words whose ids a worker keeps; the table starts anew when it is full.
-KEPT_WORDS = 1 << 19
+#: Parts of words whose ids a worker keeps (some 50 MB); the table starts anew when it is full.
+KEPT_PARTS = 1 << 18
 END_ID = 1
 
 #: A pattern: (length, copies) in the order of placing.
@@ -110,23 +112,50 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in visible else chr(256 + others.index(b)) for b in range(256)]
 
 
+def gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``flat[start[i] : start[i] + size[i]]`` of all i, one after the other."""
+    end = np.cumsum(size)
+    return flat[np.arange(int(end[-1]) if len(end) else 0) + np.repeat(start - (end - size), size)]
+
+
+def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all strings, one after the other, and where each begins (and the last ends)."""
+    n = len(texts)
+    texts = texts.cast(pa.large_string())
+    _, where, data = texts.buffers()
+    where = np.frombuffer(where, np.int64)[texts.offset : texts.offset + n + 1] if n else np.zeros(1, np.int64)
+    return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8))[where[0] : where[-1]], where - where[0]
+
+
+def strings(data: np.ndarray, start: np.ndarray) -> pa.DictionaryArray:
+    """The strings that begin at ``start`` and fill ``data``, each distinct one once."""
+    where = np.append(start, len(data)).astype(np.int64)
+    return pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(where), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
+
+
 class WordIds:
     """Ids of texts by a byte-level vocabulary with word ends, as the tokenizers library gives them.
 
     The tokenizer drops white space and never joins what stands on both sides
     of it, so a text's ids are those of its runs of other characters. In the
     same way a run's ids are those of the parts that the tokenizer's pattern
-    cuts it into. New parts of a step are merged all at once, as the rows of a
-    matrix; a run with characters beyond the Latin letters, or that could hold
-    a special token, goes to the library whole.
+    cuts it into. Texts are cut at spaces as one array of bytes, distinct runs
+    are told apart by Arrow and cut where the class of their bytes changes;
+    runs with an apostrophe are cut by the pattern itself. New parts of a step
+    are merged all at once, as the rows of a matrix, the first of them checked against
+    the library. A run with characters beyond the Latin letters, or that could
+    hold a special token, goes to the library whole. Ids of parts stand in one
+    array, from which those of runs, then of texts, are gathered.
     """
 
     #: The pattern in the tokenizer's file; letters and digits are those below U+0250.
     PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
-    #: Latin characters that Python and the tokenizer class or lower alike; numerals such as ² are not among them.
-    PLAIN = re.compile(r"[!-;=-~À-ÖØ-öø-ĭĲ-ƺǍ-ɏ]+")
+    #: Latin characters that Arrow, Python and the tokenizer class and lower alike; numerals such as ² are not among them.
+    PLAIN = "^[!-;=-~À-ÖØ-öø-ĭĲ-ƺǍ-ɏ]+$"
     LONG = 64
-    ROWS = 1 << 14
+    ROWS = 1 << 13
+    #: New parts of each step that are held against the library.
+    CHECKED = 256
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -139,51 +168,110 @@ class WordIds:
         self.pairs = PairTable(*np.array([(vocab[a], vocab[b], r, vocab[a + b]) for r, (a, b) in enumerate(merges)], np.int64).T)
         self.inner = np.array([vocab[c] for c in byte_characters()], np.int32)
         self.last = np.array([vocab[c + end] for c in byte_characters()], np.int32)
-        self.words: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {}
-
-    def _of_parts(self, parts: list[str]) -> list[bytes]:
-        """Ids of parts of at most LONG characters, merged together."""
-        out: list[bytes] = [b""] * len(parts)
+        #: 0 for bytes of letters, 1 for digits, 2 for what else a plain run holds.
+        self.kind = np.full(256, 2, np.uint8)
+        self.kind[128:] = self.kind[97:123] = 0
+        self.kind[48:58] = 1
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the table of parts."""
+        self.known: dict[str, int] = {}
+        self.ids: list[np.ndarray] = [np.zeros(0, np.uint32)]
+        self.size: list[np.ndarray] = [np.zeros(0, np.int64)]
+
+    def _merge(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts of at most LONG characters, one after the other, and their numbers."""
         raw = [p.encode() for p in parts]
         order = sorted(range(len(parts)), key=lambda i: len(raw[i]))
+        found, sizes = [], []
         for at in range(0, len(order), self.ROWS):
             rows = order[at : at + self.ROWS]
             size = np.array([len(raw[i]) for i in rows])
             inside = np.arange(int(size.max())) < size[:, None]
             symbols = np.full(inside.shape, -1, np.int32)
             symbols[inside] = self.inner[np.frombuffer(b"".join([raw[i] for i in rows]), np.uint8)]
-            ends = np.array([raw[i][-1] for i in rows])
-            symbols[np.arange(len(rows)), size - 1] = self.last[ends]
+            symbols[np.arange(len(rows)), size - 1] = self.last[[raw[i][-1] for i in rows]]
             symbols, _, size = self.pairs.merge(symbols, size)
-            stored, wide = symbols.astype("<u4").tobytes(), 4 * symbols.shape[1]
-            for k, (i, n) in enumerate(zip(rows, size.tolist(), strict=True)):
-                out[i] = stored[k * wide : k * wide + 4 * n]
-        return out
-
-    def _by_library(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit numbers."""
-        if len(self.words) > KEPT_WORDS:
-            self.words = {"": b""}
-        if len(self.parts) > KEPT_WORDS:
-            self.parts = {}
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*cut).difference(self.words)
-        plain = {w: self.PARTS.findall(w.lower()) for w in new if self.PLAIN.fullmatch(w)}
-        fresh = list({p for ps in plain.values() for p in ps}.difference(self.parts))
-        short = [p for p in fresh if len(p) <= self.LONG]
-        parts = self.parts
-        parts.update(zip(short, self._of_parts(short), strict=True))
-        long = {p: self._by_library(p) for p in fresh if len(p) > self.LONG}
-        found = {w: b"".join([parts[p] if p in parts else long[p] for p in ps]) for w, ps in plain.items()}
-        found |= {w: self._by_library(w) for w in new if w not in plain}
-        kept = {w: i for w, i in found.items() if len(w) <= self.LONG}
-        self.words |= kept
-        words = self.words if len(kept) == len(found) else self.words | found
-        return [b"".join([words[w] for w in ws]) for ws in cut]
+            found.append(symbols[np.arange(symbols.shape[1]) < size[:, None]].astype(np.uint32))
+            sizes.append(size)
+        size, place = np.concatenate(sizes), np.argsort(order)
+        start = np.cumsum(size) - size
+        return gathered(np.concatenate(found), start[place], size[place]), size[place]
+
+    def _by_library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        each = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        return np.array([i for ids in each for i in ids], np.uint32), np.array([len(ids) for ids in each], np.int64)
+
+    def _keep(self, names: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        self.known |= zip(names, range(len(self.known), len(self.known) + len(names)), strict=True)
+        self.ids.append(ids)
+        self.size.append(size)
+
+    def _learn(self, parts: list[str], runs: list[str]) -> None:
+        """Puts new parts, and runs that are not cut (known with a space in front), into the table."""
+        new = list(dict.fromkeys(itertools.filterfalse(self.known.__contains__, parts)))
+        if short := [p for p in new if len(p) <= self.LONG]:
+            ids, size = self._merge(short)
+            asked, sizes = self._by_library(short[: self.CHECKED])
+            if not np.array_equal(size[: len(sizes)], sizes) or not np.array_equal(ids[: len(asked)], asked):
+                raise RuntimeError("parts of words are not encoded as by the library")
+            self._keep(short, ids, size)
+        if long := [p for p in new if len(p) > self.LONG]:
+            self._keep(long, *self._by_library(long))
+        if runs := [r for r in dict.fromkeys(runs) if " " + r not in self.known]:
+            self._keep([" " + r for r in runs], *self._by_library(runs))
+
+    def _rows(self, runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The table's rows that the distinct runs are made of, one run after the other, and their numbers."""
+        plain = pc.match_substring_regex(runs, self.PLAIN).to_numpy(zero_copy_only=False)
+        simple = plain & ~pc.match_substring(runs, "'").to_numpy(zero_copy_only=False)
+        data, where = bytes_of(pc.utf8_lower(runs.filter(pa.array(simple))))
+        kind = self.kind[data]
+        cut = np.ones(len(data), bool)
+        cut[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 1)
+        cut[where[:-1]] = True
+        start = np.flatnonzero(cut)
+        parts = strings(data, start)
+        names, other = parts.dictionary.to_pylist(), np.flatnonzero(~simple)
+        special = [(self.PARTS.findall(r.lower()) if p else [" " + r]) for r, p in zip(runs.take(pa.array(other)).to_pylist(), plain[other].tolist(), strict=True)]
+        listed = [x for each in special for x in each]
+        self._learn(names + [x for x in listed if x[0] != " "], [x[1:] for x in listed if x[0] == " "])
+        known = self.known
+        rows = np.fromiter(map(known.__getitem__, names), np.int64, len(names))[parts.indices.to_numpy()]
+        rows = np.concatenate([rows, np.fromiter(map(known.__getitem__, listed), np.int64, len(listed))])
+        # Rows of simple runs come first, then those of the others; a run's are found by where they start.
+        count = np.zeros(len(runs), np.int64)
+        count[simple] = np.diff(np.searchsorted(start, where))
+        count[other] = [len(x) for x in special]
+        order = np.concatenate([np.flatnonzero(simple), other])
+        begin = np.zeros(len(runs), np.int64)
+        begin[order] = np.cumsum(count[order]) - count[order]
+        return gathered(rows, begin, count), count
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (null: empty), one after the other, and where each text's begin (and the last ends)."""
+        if len(self.known) > KEPT_PARTS:
+            self.forget()
+        data, where = bytes_of(pc.fill_null(texts, ""))
+        inside = (data != 32) & (data != 10)
+        first = inside.copy()
+        edge = np.zeros(len(data) + 1, bool)
+        edge[where] = True
+        first[1:] &= ~inside[:-1] | edge[1:-1]
+        start = np.flatnonzero(first)
+        if not len(start):
+            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+        runs = strings(data[inside], np.cumsum(inside)[start] - 1)
+        rows, count = self._rows(runs.dictionary)
+        self.ids, self.size = [np.concatenate(self.ids)], [np.concatenate(self.size)]
+        flat, size = self.ids[0], self.size[0]
+        ids = gathered(flat, (np.cumsum(size) - size)[rows], size[rows])  # of the distinct runs
+        # A run's ids end where those of its last row do; every run has a row.
+        size = np.add.reduceat(size[rows], np.cumsum(count) - count)
+        at = runs.indices.to_numpy()
+        ends = np.append(0, np.cumsum(size[at]))
+        return gathered(ids, (np.cumsum(size) - size)[at], size[at]), ends[np.searchsorted(start, where)]
 
 
 _words: dict[str, WordIds] = {}
@@ -198,26 +286,26 @@ def pieces(docs: DataFrame, path: str, room: int, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _words:
             _words[path] = WordIds(path)
-        words, end = _words[path], np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             for part in steps(batch, 1):
-                at, start, length, crc, total, ids = [], [], [], [], [], []
-                for i, coded in enumerate(words.encode([t or "" for t in part.column(1).to_pylist()])):
-                    coded += end
-                    n = len(coded) // 4
-                    for s in range(0, n, room):
-                        piece = coded[4 * s : 4 * (s + room)]
-                        at.append(i)
-                        start.append(s)
-                        length.append(len(piece) // 4)
-                        crc.append(zlib.crc32(piece))
-                        total.append(n)
-                        if keep_ids:
-                            ids.append(piece)
-                cols = [part.column(0).take(pa.array(at, pa.int64())), pa.array(start, pa.int64()), pa.array(length, pa.int32()), pa.array(crc, pa.int64()), pa.array(total, pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols + [pa.array(ids, pa.binary())] * keep_ids, names=schema.names)
-
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+                ids, where = _words[path].encode(part.column(1))
+                ids = np.insert(ids, where[1:], END_ID).astype("<u4")
+                where = where + np.arange(len(where))
+                n = np.diff(where)
+                of = -(-n // room)  # pieces of each text
+                at = np.repeat(np.arange(len(n)), of)
+                start = room * (np.arange(len(at)) - np.repeat(np.cumsum(of) - of, of))
+                length = np.minimum(n[at] - start, room)
+                begin = where[at] + start
+                raw = [ids[b : b + k].tobytes() for b, k in zip(begin.tolist(), length.tolist(), strict=True)]
+                cols = [part.column(0).take(pa.array(at)), pa.array(start), pa.array(length.astype(np.int32)), pa.array([zlib.crc32(r) for r in raw], pa.int64()), pa.array(n[at])]
+                yield pa.RecordBatch.from_arrays(cols + [pa.array(raw, pa.binary())] * keep_ids, names=schema.names)
+
+    def forget() -> None:
+        _words[path].forget()
+
+    bound_batches(docs.sparkSession)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(released(run, forget), schema).withColumnRenamed("id", id_col)
 
 
 def _placer(table: dict[str, np.ndarray], schema: T.StructType):
