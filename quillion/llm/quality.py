@@ -7,7 +7,7 @@ Defined results: a null text counts as empty (no words, so the base rule fails
 and it is not kept); ties do not occur; repeated rows are judged one by one
 with equal results; an empty table gives an empty table; other columns are
 carried by :func:`keep_clean` and ignored by :func:`judge`, and may have any
-name that does not start with ``__q_``. Texts of any length are read whole; the
+name. Texts of any length are read whole; the
 work for a text is linear in its words, or n log n where windows repeat.
 """
 
@@ -140,10 +140,10 @@ def base_failed() -> Column:
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Counts, broken rules and verdict of every row."""
-    df = _with_counts(docs.select(F.col(id_col), F.col(text_col).alias("__q_text")), "__q_text")
+    df = _with_counts(docs.select(F.col(f"`{id_col}`").alias("__q_id"), F.col(f"`{text_col}`").alias("__q_text")), "__q_text")
     df = df.withColumns({"__q_base": base_failed(), "__q_broken": compile_rules(rules)})
     return df.select(
-        F.col(id_col),
+        F.col("__q_id").alias(id_col),
         F.col("__q_n").cast("long").alias("n_words"),
         F.col("__q_word_chars").alias("word_chars"),
         F.col("__q_symbols").alias("n_symbols"),
@@ -156,9 +156,14 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
 
 
 def keep_clean(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows that pass the base rule and the table, with their own columns only."""
-    df = _with_counts(docs, text_col).withColumn("__q_kept", ~base_failed() & (F.size(compile_rules(rules)) == 0))
-    # A filter would be pushed below the projections, and all counts computed again in its condition for each use;
-    # it is not pushed below a column that is not deterministic.
-    df = df.withColumn("__q_task", F.spark_partition_id())
-    return df.where("__q_kept and __q_task >= 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows that pass the base rule and the table, with their own columns only.
+
+    Spark pushes filters below projections, where all counts would be computed
+    again for each use in the condition. It pushes none below a column that is
+    not deterministic, so the verdict is asked together with the task's number,
+    which is never negative.
+    """
+    # The row's own columns stand in one struct, so that none clashes with the counts.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__q_row"), F.col(f"`{text_col}`").alias("__q_text"))
+    df = _with_counts(rows, "__q_text").drop("__q_text").withColumn("__q_kept", ~base_failed() & (F.size(compile_rules(rules)) == 0))
+    return df.withColumn("__q_task", F.spark_partition_id()).where("__q_kept and __q_task >= 0").select("__q_row.*")
