@@ -28,8 +28,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A longer list keeps this size (1 MB); its extra false positives are removed by the join.
 MIN_BLOCKS, MAX_BLOCKS = 64, 1 << 17
 
-#: Entries up to this many are broadcast (their size is known: at most 2 KB each is allowed for); more are joined by shuffle.
-BROADCAST_ENTRIES = 20_000
+#: A list of up to this many bytes, as counted, is broadcast; a larger one is joined by shuffle.
+BROADCAST_BYTES = 8 << 20
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -67,7 +67,8 @@ def judge(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col:
     listed = listed.where(F.col("entry").isNotNull()).groupBy("entry").agg(F.min("verdict").alias("verdict"))
     at = F.instr("entry", "/")
     listed = listed.where(at > 1).withColumns({"labels": F.size(F.split(F.substring_index("entry", "/", 1), r"\.")), "path_length": F.length("entry") - at + 1})
-    shape = listed.agg(F.count("*").alias("n"), F.collect_set("labels").alias("labels"), F.collect_set("path_length").alias("lengths")).first()
+    size = F.octet_length("entry") + F.octet_length(F.coalesce("verdict", F.lit(""))) + 64
+    shape = listed.agg(F.count("*").alias("n"), F.sum(size).alias("bytes"), F.collect_set("labels").alias("labels"), F.collect_set("path_length").alias("lengths")).first()
     blocks = MIN_BLOCKS
     while blocks < min(MAX_BLOCKS, 2 * shape.n):
         blocks *= 2
@@ -95,7 +96,7 @@ def judge(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col:
     # The row number comes from the scan's partitions, which are the same when a task runs again.
     hit = rows.where(F.size("hits") > 0).withColumn("row", F.monotonically_increasing_id()).select("row", *plain, F.explode("hits").alias("entry"))
     exact = listed.select("entry", F.col("verdict").alias("v"))
-    joined = hit.join(F.broadcast(exact) if shape.n <= BROADCAST_ENTRIES else exact, "entry", "left")
+    joined = hit.join(F.broadcast(exact) if shape.bytes <= BROADCAST_BYTES else exact, "entry", "left")
     best = joined.groupBy("row", *plain).agg(
         F.max(F.when(F.col("v").isNotNull(), F.struct(F.length("entry").alias("n"), F.length(F.substring_index("entry", "/", 1)).alias("h"), F.col("entry"), F.col("v")))).alias("best")
     )
