@@ -6,7 +6,7 @@ end there, which does not merge with the last token of the prefix before it;
 the count is then that prefix's count plus one. Whether two neighbouring tokens
 stay apart is found once for each pair by encoding their union. Texts are cut
 into units as for encoding, and the program runs once for each distinct unit,
-over many units at a time.
+over many short units at a time, in one pass over each long one.
 
 The counts are stored as one signed byte for each character of the escaped
 text: the change from the prefix before. They answer, without encoding again,
@@ -35,6 +35,13 @@ AREA = 1 << 18
 BASE = np.uint64(0x5851F42D4C957F2D)
 
 
+def _as_bytes(changes: np.ndarray) -> np.ndarray:
+    """Changes as one signed byte each: a vocabulary whose pieces change a count by more cannot be stored so."""
+    if changes.size and (changes.min() < -128 or changes.max() > 127):
+        raise ValueError("a count changes by more than a signed byte holds")
+    return changes.astype(np.int8)
+
+
 class PrefixCounts:
     """Unit -> (its tokens, change of the count at each of its characters), for the units met so far."""
 
@@ -54,6 +61,9 @@ class PrefixCounts:
         # Pieces that their own characters merge into: only they can be tokens.
         self.whole = np.ones(model.other + 1, bool)
         self.whole[ids] = model.merged(symbols, size)[2] == 1
+        # Beginnings of pieces, with the piece's id where it can be a token.
+        self.heads: dict[str, int] = {p[:k]: -1 for p, _ in pieces for k in range(2, len(p) + 1)}
+        self.heads |= {p: i for p, i in pieces if self.whole[i]}
 
     @staticmethod
     def _hashes(points: np.ndarray) -> np.ndarray:
@@ -113,19 +123,56 @@ class PrefixCounts:
             last[at, end] = piece
             counts[at, end] = counts[at, start] + np.where(piece < len(model.text), 1, spelled[at, end - 1])
         wide = points.shape[1]
-        stored = np.diff(counts, axis=1).astype(np.int8).tobytes()
+        stored = _as_bytes(np.diff(counts, axis=1)).tobytes()
         total = counts[np.arange(len(texts)), size].tolist()
         return [(t, stored[i * wide : i * wide + n]) for i, (t, n) in enumerate(zip(total, size.tolist(), strict=True))]
 
+    def _apart(self, before: int, piece: int) -> bool:
+        """As :meth:`_stay_apart`, for one pair."""
+        key = before << 32 | piece
+        verdict = self.apart.get(key)
+        if verdict is None:
+            if len(self.apart) > KEPT_PAIRS:
+                self.apart = {}
+            known = self.model.other not in (before, piece)
+            verdict = not known or self.model.merge(self.names[before] + self.names[piece]) == [self.names[before], self.names[piece]]
+            self.apart[key] = verdict
+        return verdict
+
+    def prefix_changes_of_long(self, text: str) -> tuple[int, bytes]:
+        """The same program for one long text: from each prefix, whose last token is known, to those that one piece more ends."""
+        model, apart, heads = self.model, self._apart, self.heads
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        symbols = model.symbol_of[points].tolist()
+        alone = np.where(model.symbol_of[points] < len(model.text), 1, 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)).tolist()
+        n = len(text)
+        last, counts = [-1] * (n + 1), [0] * (n + 1)
+        for start in range(n):
+            before, so_far = last[start], counts[start]
+            if start and before < 0:
+                raise RuntimeError("a prefix has no last token")
+            end, piece = start + 1, symbols[start]
+            while True:
+                if piece >= 0 and (not start or apart(before, piece)):
+                    if last[end] >= 0:
+                        raise RuntimeError("a prefix has more than one last token")
+                    last[end], counts[end] = piece, so_far + (1 if end > start + 1 else alone[start])
+                end += 1
+                # None: no piece begins so. -1: some do, but this is none that can be a token.
+                if end > n or (piece := heads.get(text[start:end])) is None:
+                    break
+        return counts[n], _as_bytes(np.diff(np.array(counts, np.int64))).tobytes()
+
     def learn(self, units: set[str], check: bool) -> dict[str, tuple[int, bytes]]:
         """A table that holds all of ``units``."""
         if len(self.known) > KEPT_UNITS:
             self.known = {}
         new = sorted((u for u in units if u not in self.known), key=len)
-        found: dict[str, tuple[int, bytes]] = {}
-        at = 0
-        while at < len(new):
-            rows = new[at : at + max(1, AREA // (len(new[at]) + 1))]
+        long = [u for u in new if len(u) > LONG]
+        found = {u: self.prefix_changes_of_long(self.model.escaped(u)) for u in long}
+        end, at = len(new) - len(long), 0
+        while at < end:
+            rows = new[at:end][: max(1, AREA // (len(new[at]) + 1))]
             while len(rows) > 1 and len(rows) * (len(rows[-1]) + 1) > 2 * AREA:
                 rows = rows[: len(rows) // 2]
             at += len(rows)
@@ -136,7 +183,7 @@ class PrefixCounts:
             for u, i in zip(new, ids, strict=True):
                 if len(i) != found[u][0]:
                     raise RuntimeError(f"unit {u!r}: {found[u][0]} tokens counted, {len(i)} encoded")
-        if long := [u for u in new if len(u) > LONG]:
+        if long:
             extra = {u: found.pop(u) for u in long}
             self.known |= found
             return self.known | extra
