@@ -40,6 +40,8 @@ from pyspark.sql import types as T
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>\n"
 KINDS = ("start", "regenerate", "edit", "delta")
 MASKED_ROLE = "assistant"
+#: Deltas of a message in a log made by :func:`events_of`, and events before the first of them.
+DELTAS, MOST_BEFORE = 3, 5
 #: Rendered characters of one output batch.
 BATCH_CHARS = 4 << 20
 
@@ -58,13 +60,39 @@ def unescape(text: str) -> str:
 
 
 def events_of(conversations: DataFrame) -> DataFrame:
-    """The log of plain (conv_id, turn, role, text) rows: each is started, then streamed as one delta."""
+    """A log, as a chat service would have written it, whose fold is the given (conv_id, turn, role, text) rows again.
+
+    Every text comes in up to DELTAS streamed deltas. By a hash of its text a
+    message may also have begun with other words and been edited before the
+    rest came, or have been streamed, answered, and regenerated, whereby the
+    answer goes.
+    """
     row = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
     rows = conversations.select("conv_id", "turn", "role", "text").select("conv_id", row.alias("message"), "role", "text")
-    start = F.struct(F.lit(0).alias("k"), F.lit("start").alias("kind"), F.col("role"), F.lit(None).cast("string").alias("text"))
-    delta = F.struct(F.lit(1).alias("k"), F.lit("delta").alias("kind"), F.lit(None).cast("string").alias("role"), F.col("text"))
-    each = rows.select("conv_id", "message", F.explode(F.array(start, delta)).alias("e"))
-    return each.select("conv_id", "message", (2 * F.col("message") + F.col("e.k")).alias("seq"), F.col("e.kind"), F.col("e.role"), F.col("e.text"))
+    rows = rows.withColumn("text", F.coalesce("text", F.lit("")))
+    none = F.lit(None).cast("string")
+
+    def event(k, kind: str, role=none, text=none, ahead: int = 0):
+        return F.struct(F.lit(k).alias("k") if isinstance(k, int) else k.alias("k"), (F.col("message") + ahead).alias("message"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
+
+    step = F.greatest(F.ceil(F.length("text") / DELTAS), F.lit(1)).cast("int")
+    part = lambda i: F.substring(F.col("text"), i * step + 1, step)
+    used = F.ceil(F.length("text") / step).cast("int")  # deltas that the text needs
+
+    def deltas(first: int):
+        """The text's parts from the given one on."""
+        numbers = F.when(used > first, F.sequence(F.lit(first), F.greatest(used - 1, F.lit(first))))
+        return F.coalesce(F.transform(numbers, lambda i: event(i + MOST_BEFORE, "delta", text=part(i))), F.array().cast(kind_of_log))
+
+    kind_of_log = "array<struct<k:int,message:bigint,kind:string,role:string,text:string>>"
+    start, wrong = event(0, "start", F.col("role")), F.concat(F.lit("draft: "), F.reverse("text"))
+    edited = F.concat(F.array(start, event(1, "delta", text=wrong), event(2, "edit", text=part(F.lit(0)))), deltas(1))
+    answered = F.array(start, event(1, "delta", text=wrong), event(2, "start", F.lit("user"), ahead=1), event(3, "delta", text=wrong, ahead=1), event(4, "regenerate"))
+    streamed = F.concat(F.array(start), deltas(0))
+    way = F.pmod(F.xxhash64("text", "message"), F.lit(4))
+    log = F.when(way == 0, edited).when(way == 1, F.concat(answered, deltas(0))).otherwise(streamed)
+    each = rows.select("conv_id", "message", F.explode(log).alias("e"))
+    return each.select("conv_id", "e.message", ((MOST_BEFORE + DELTAS) * F.col("message") + F.col("e.k")).alias("seq"), F.col("e.kind"), F.col("e.role"), F.col("e.text"))
 
 
 @dataclass
