@@ -4,42 +4,52 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillion.llm.cluster import checkpointed
 
-#: Links up to this number (about 100 MB of memory) are joined by one executor task; more take rounds over the whole cluster.
+#: Links up to this number are joined by one executor task: for 128-bit names 32 MB of ends, and as much again for numbers and order. More
+#: take rounds over the whole cluster, with the same result; rounds over few links would cost only their fixed price.
 ONE_TASK = 1 << 20
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, root) by union-find; the smaller of two roots stays."""
-    parent: dict = {}
-    kind = None
+def least_reached(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each of the nodes 0 to n - 1 the smallest that it reaches by the links x - y."""
+    low = np.arange(n)
+    while True:
+        a, b = low[x], low[y]
+        if np.array_equal(a, b):
+            return low
+        # Each root joins the smallest root that a link of its tree leads to; paths are then cut short.
+        np.minimum.at(low, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up := low[low], low):
+            low = up
 
-    def top(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of all links of the task; nodes are numbered in their order, so that the smallest is the root."""
+    ends: list[list[pa.Array]] = [[], []]
     for b in batches:
-        kind = b.schema.field(0).type
-        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            if x is None or y is None:
-                continue
-            parent.setdefault(x, x)
-            parent.setdefault(y, y)
-            x, y = top(x), top(y)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-    nodes = list(parent)
-    for at in range(0, len(nodes), 1 << 16):
-        part = nodes[at : at + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(part, kind), pa.array([top(x) for x in part], kind)], names=["node", "root"])
+        b = b.filter(pc.and_(b.column(0).is_valid(), b.column(1).is_valid()))
+        for k in (0, 1):
+            ends[k].append(b.column(k))
+    links = sum(map(len, ends[0]))
+    if not links:
+        return
+    coded = pa.concat_arrays(ends[0] + ends[1]).dictionary_encode()
+    order = pc.array_sort_indices(coded.dictionary)
+    rank = np.empty(len(order), np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+    at = rank[coded.indices.to_numpy()]
+    nodes = coded.dictionary.take(order)
+    roots = nodes.take(pa.array(least_reached(len(nodes), at[:links], at[links:])))
+    for start in range(0, len(nodes), 1 << 16):
+        yield pa.RecordBatch.from_arrays([nodes.slice(start, 1 << 16), roots.slice(start, 1 << 16)], names=["node", "root"])
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -33,7 +33,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,8 +40,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillion.llm.batches import keyed_map, steps
-from quillion.llm.cluster import checkpoint_dir, checkpointed
+from quillion.llm.batches import array_steps, bound_batches, keyed_map, released, steps
+from quillion.llm.cluster import checkpointed, written
 from quillion.llm.components import components
 
 #: A key of more sets than this is heavy.
@@ -51,10 +50,14 @@ HEAVY = 16
 ZONE = 0.05
 #: Growth of sizes from band to band.
 BAND = 1.5
-#: Sets of one block, about.
-BLOCK = 512
+#: Sets of one block, about, and shingles of all of them: long texts have blocks of fewer sets.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+#: Cells of the matrix of sets and shingles that is multiplied at once (16 MB).
+CELLS = 1 << 22
 #: Distinct words whose hash a worker keeps.
-KEPT_WORDS = 1 << 19
+KEPT_WORDS = 1 << 17
+#: Texts that a task remembers to have handled; it may handle later copies again.
+KEPT_NODES = 1 << 17
 #: Bits of the filter that picks the texts to fetch: fixed, so that it can be sent to all tasks whatever the corpus (1 MB).
 PICK_BITS = 23
 
@@ -89,8 +92,17 @@ def node_of(words: list[bytes]) -> bytes:
     return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
 
 
-def class_of(node: bytes) -> int:
-    return int.from_bytes(node[:8], "little", signed=True)
+#: Bits of a class. Tests take fewer, so that different texts fall into one class.
+CLASS_BITS = 64
+
+
+def class_of(node: bytes, bits: int = CLASS_BITS) -> int:
+    """The first bits of a node, which stand for it in keys and pairs. Texts of one class are told apart by node wherever a link or a size depends on it."""
+    return int.from_bytes(node[:8], "little", signed=True) >> (64 - bits)
+
+
+def rest_of(node: bytes) -> int:
+    return int.from_bytes(node[8:], "little", signed=True)
 
 
 def shingle_sets(docs: list[list[bytes]], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -181,24 +193,27 @@ def keys_of(shingles: np.ndarray, sizes: np.ndarray, cls: np.ndarray, band: np.n
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _signer(k: int, num: int, den: int):
+def _signer(k: int, num: int, den: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(num, den), set()
         names = ["key", "cls", "info"]
         for batch in batches:
             for part in steps(batch, 0):
-                docs, classes = [], []
+                docs, nodes = [], []
+                if len(seen) > KEPT_NODES:
+                    seen.clear()
                 for text in part.column(0).to_pylist():
                     words = words_of(text)
-                    if words and (c := class_of(node_of(words))) not in seen:  # copies within a task sign once
-                        seen.add(c)
+                    if words and (node := node_of(words)) not in seen:  # copies near each other sign once
+                        seen.add(node)
                         docs.append(words)
-                        classes.append(c)
+                        nodes.append(node)
                 if not docs:
                     continue
                 shingles, sizes = shingle_sets(docs, k)
-                cls = np.array(classes, np.int64)
-                out = [(cls.view(np.uint64), cls, -1 - sizes)]
+                cls = np.array([class_of(n, bits) for n in nodes], np.int64)
+                # The row of a set's size has the whole name: its class as key, the rest as class.
+                out = [(cls.view(np.uint64), np.array([rest_of(n) for n in nodes], np.int64), -1 - sizes)]
                 band = bands.of(sizes)
                 # Its own band, and the one below if that may hold a linked set.
                 below = np.maximum(band - 1, 0)
@@ -214,9 +229,10 @@ def _signer(k: int, num: int, den: int):
     return run
 
 
-def signatures(docs: DataFrame, text_col: str, k: int, num: int, den: int) -> DataFrame:
+def signatures(docs: DataFrame, text_col: str, k: int, num: int, den: int, bits: int = CLASS_BITS) -> DataFrame:
     """(key, cls, info): every key of every distinct text of a task, and its set's size."""
-    return docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(_signer(k, num, den), "key long, cls long, info long")
+    bound_batches(docs.sparkSession)
+    return docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(released(_signer(k, num, den, bits), _hashes.clear), "key long, cls long, info long")
 
 
 def _light_pairs(key: np.ndarray, cls: np.ndarray, info: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -242,7 +258,7 @@ def _light_pairs(key: np.ndarray, cls: np.ndarray, info: np.ndarray, start: np.n
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key and class: PAIR rows of cheap keys (a, b: classes), HEAVY_ROW rows of dear ones (a: key, b: class), SIZE rows (a: class).
+    """Of rows sorted by key and class: PAIR rows of cheap keys (a, b: classes), HEAVY_ROW rows of dear ones (a: key, b: class), SIZE rows (a: class, b: rest of the name).
 
     A key's rows are held until it has more than HEAVY classes or ends.
     """
@@ -281,7 +297,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, cls, info = (c.to_numpy() for c in b.columns)
         sizes = info < 0
         if sizes.any():
-            yield batch_of(SIZE, cls[sizes], cls[sizes], info[sizes])
+            yield batch_of(SIZE, key[sizes], cls[sizes], info[sizes])
             key, cls, info = key[~sizes], cls[~sizes], info[~sizes]
         if not len(key):
             continue
@@ -292,13 +308,6 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from groups(*held, last=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared checkpoint folder: smaller than a checkpoint, and read by columns."""
-    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def linked(a: list[bytes], b: list[bytes], k: int, num: int, den: int) -> bool:
     """Whether two texts' shingle sets are similar enough, by words: each distinct word of the two has a number, a shingle's numbers make one."""
     number: dict[bytes, int] = {}
@@ -350,6 +359,12 @@ def _block_linker(k: int, num: int, den: int):
     """Links across components of two blocks (side 0 and 1, or a block with itself): sizes of all intersections at once by a matrix product."""
 
     def run(table: pa.Table) -> pa.Table:
+        try:
+            return linked_across(table)
+        finally:
+            _hashes.clear()
+
+    def linked_across(table: pa.Table) -> pa.Table:
         side = np.array(table.column("side").to_pylist())
         nodes, roots, texts = (table.column(c).to_pylist() for c in ("node", "root", "text"))
         parts = [shingle_sets([words_of(t)], k) for t in texts]  # word lists are not kept: they take far more room than texts
@@ -360,11 +375,18 @@ def _block_linker(k: int, num: int, den: int):
         place = np.cumsum(often) - 1
         owner = np.repeat(np.arange(len(texts)), sizes)
         keep = often[column]
-        rows = np.zeros((len(texts), int(often.sum())), np.float32)
-        rows[owner[keep], place[column[keep]]] = 1
+        owner, column = owner[keep], place[column[keep]]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
         x = np.flatnonzero(side == 0)
         y = np.flatnonzero(side == 1) if (side == 1).any() else x
-        both = rows[x] @ rows[y].T
+        both = np.zeros((len(x), len(y)), np.float32)
+        wide = max(1, CELLS // len(texts))
+        for first in range(0, int(often.sum()), wide):
+            lo, hi = np.searchsorted(column, [first, first + wide])
+            rows = np.zeros((len(texts), wide), np.float32)
+            rows[owner[lo:hi], column[lo:hi] - first] = 1
+            both += rows[x] @ rows[y].T
         near = np.argwhere(den * both >= num * (sizes[x][:, None] + sizes[y][None, :] - both))
         a, b = [], []
         joined = {r: r for r in roots}
@@ -386,37 +408,39 @@ def _block_linker(k: int, num: int, den: int):
 
 
 def _shingler(k: int):
-    """(class, shingle) of every distinct shingle of a text."""
+    """(node, shingle) of every distinct shingle of a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in steps(batch, 1):
                 found, sizes = shingle_sets([words_of(t) for t in part.column(1).to_pylist()], k)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), sizes)), pa.array(found.view(np.int64))], names=["cls", "shingle"])
+                owner = pa.array(np.repeat(np.arange(part.num_rows), sizes))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(owner), pa.array(found.view(np.int64))], names=["node", "shingle"])
 
     return run
 
 
-def _picker(bits: bytes):
-    """Texts whose class is in the filter, once for each task."""
+def _picker(table: bytes, bits: int):
+    """Texts whose class is in the filter; copies near each other once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        picked, seen = np.frombuffer(bits, np.uint8), set()
+        picked, seen = np.frombuffer(table, np.uint8), set()
         for batch in batches:
             for part in steps(batch, 0):
-                nodes, classes, texts = [], [], []
+                nodes, texts = [], []
+                if len(seen) > KEPT_NODES:
+                    seen.clear()
                 for text in part.column(0).to_pylist():
                     words = words_of(text)
                     if not words:
                         continue
                     node = node_of(words)
-                    c = class_of(node)
-                    if in_filter(picked, c) and node not in seen:
+                    if in_filter(picked, class_of(node, bits)) and node not in seen:
                         seen.add(node)
                         nodes.append(node)
-                        classes.append(c)
                         texts.append(b" ".join(words).decode())
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(classes, pa.int64()), pa.array(texts, pa.string())], names=["node", "cls", "text"])
+                cols = [pa.array(nodes, pa.binary()), pa.array([class_of(n, bits) for n in nodes], pa.int64()), pa.array([rest_of(n) for n in nodes], pa.int64()), pa.array(texts, pa.string())]
+                yield pa.RecordBatch.from_arrays(cols, names=["node", "cls", "rest", "text"])
 
     return run
 
@@ -436,76 +460,81 @@ def in_filter(bits: np.ndarray, cls: int) -> bool:
     return bool(bits[at >> 3] >> (at & 7) & 1)
 
 
-def texts_of(docs: DataFrame, text_col: str, classes: DataFrame) -> DataFrame:
-    """(node, cls, text) of the texts whose class is in ``classes``, once each. The filter spares the shuffle most others."""
-    near = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(_picker(filter_bits(classes)), "node binary, cls long, text string")
+def texts_of(docs: DataFrame, text_col: str, classes: DataFrame, bits: int = CLASS_BITS) -> DataFrame:
+    """(node, cls, rest, text) of the texts whose class is in ``classes``, once each. The filter spares the shuffle most others."""
+    near = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(released(_picker(filter_bits(classes), bits)), "node binary, cls long, rest long, text string")
     # Grouped by class first: the join's exchange serves the grouping too.
-    return near.join(classes.distinct(), "cls", "left_semi").groupBy("cls", "node").agg(F.first("text").alias("text")).select("node", "cls", "text")
+    return near.join(classes.distinct(), "cls", "left_semi").groupBy("cls", "rest", "node").agg(F.first("text").alias("text")).select("node", "cls", "rest", "text")
 
 
-def links(docs: DataFrame, text_col: str, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Links (a, b) between texts by node, enough to make every component; (node, root) of their components; and (cls, n) of all texts."""
-    signed = signatures(docs, text_col, k, num, den).repartition("key").sortWithinPartitions("key", "cls")
-    met = written(signed.mapInArrow(_meet, "kind int, a long, b long, info long"))
-    sizes = met.where(F.col("kind") == SIZE).groupBy(F.col("a").alias("cls")).agg((-1 - F.min("info")).alias("n"))
+def links(docs: DataFrame, text_col: str, k: int, num: int, den: int, bits: int = CLASS_BITS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links (a, b) between texts by node, enough to make every component; (node, root) of their components; and (cls, rest, n) of all texts."""
+    signed = signatures(docs, text_col, k, num, den, bits).repartition("key").sortWithinPartitions("key", "cls")
+    met = written(signed.mapInArrow(released(_meet), "kind int, a long, b long, info long"))
+    sizes = met.where(F.col("kind") == SIZE).select(F.col("a").alias("cls"), F.col("b").alias("rest"), "info").repartition("cls").groupBy("cls", "rest").agg((-1 - F.min("info")).alias("n"))
+    # Where two texts fall into one class, its bounds are the loosest of theirs, and the two are a pair.
+    by_class = sizes.groupBy("cls").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("texts"))
+    twins = by_class.where("texts > 1").select(F.col("cls").alias("x"), F.col("cls").alias("y"))
 
     # Allocation: the worth of heavy keys that a set would lose, and who cannot do without them.
     band = F.shiftright("info", _BAND_AT).alias("band")
     segment = F.shiftright("info", _SEGMENT).bitwiseAND(F.lit((1 << (_BAND_AT - _SEGMENT)) - 1))
     flag = lambda bit: F.shiftright("info", bit).bitwiseAND(F.lit(1)).cast("int")
     heavy = met.where(F.col("kind") == HEAVY_ROW).select(F.col("a").alias("key"), F.col("b").alias("cls"), "info")
-    lost = heavy.groupBy("cls", band, segment.alias("segment")).agg(F.max(F.when(flag(_DELETION) == 0, 1 + flag(_ZONE)).otherwise(1)).alias("lost"), F.max(F.col("info").bitwiseAND(F.lit(_SPARE))).alias("spare"))
-    lost = checkpointed(lost.groupBy("cls", "band").agg(F.sum("lost").alias("lost"), F.max("spare").alias("spare")))
+    lost = heavy.groupBy("cls", band, segment.alias("segment")).agg(F.max(F.when(flag(_DELETION) == 0, 1 + flag(_ZONE)).otherwise(1)).alias("lost"), F.min(F.col("info").bitwiseAND(F.lit(_SPARE))).alias("spare"))
+    lost = checkpointed(lost.groupBy("cls", "band").agg(F.sum("lost").alias("lost"), F.min("spare").alias("spare")))
     short = lost.where("lost > spare").select("cls", "band")
     dear = checkpointed(heavy.select("key", "cls", band).join(short, ["cls", "band"]).select("key", "cls").distinct())
     dear_rep = dear.groupBy("key").agg(F.min("cls").alias("rep"))
 
     # Pairs that meet in cheap keys, and share enough: what they could share in heavy keys is what either loses there.
-    shared = met.where(F.col("kind") == PAIR).groupBy("a", "b", band).agg(F.sum(F.col("info").bitwiseAND(F.lit(3))).alias("worth"), F.max(F.shiftright("info", 2).bitwiseAND(F.lit((1 << (_BAND_AT - 2)) - 1))).alias("need"))
+    shared = met.where(F.col("kind") == PAIR).groupBy("a", "b", band).agg(F.sum(F.col("info").bitwiseAND(F.lit(3))).alias("worth"), F.min(F.shiftright("info", 2).bitwiseAND(F.lit((1 << (_BAND_AT - 2)) - 1))).alias("need"))
     of_a, of_b = (lost.select(F.col("cls").alias(c), "band", F.col("lost").alias(f"lost_{c}")) for c in "ab")
     shared = shared.join(of_a, ["a", "band"], "left").join(of_b, ["b", "band"], "left")
     shared = shared.where(F.col("worth") + F.least(F.coalesce("lost_a", F.lit(0)), F.coalesce("lost_b", F.lit(0))) >= F.col("need"))
 
     def of_like_size(pairs: DataFrame) -> DataFrame:
         """Sets of too different sizes are not linked."""
-        pairs = pairs.join(sizes.select(F.col("cls").alias("x"), F.col("n").alias("nx")), "x").join(sizes.select(F.col("cls").alias("y"), F.col("n").alias("ny")), "y")
-        return pairs.where(den * F.least("nx", "ny") >= num * F.greatest("nx", "ny")).select("x", "y")
+        for c in "xy":
+            pairs = pairs.join(by_class.select(F.col("cls").alias(c), F.col("lo").alias(f"lo_{c}"), F.col("hi").alias(f"hi_{c}")), c)
+        return pairs.where(den * F.least("hi_x", "hi_y") >= num * F.greatest("lo_x", "lo_y")).select("x", "y")
 
-    candidates = checkpointed(of_like_size(shared.select(F.col("a").alias("x"), F.col("b").alias("y")).distinct()))
+    candidates = checkpointed(of_like_size(shared.select(F.col("a").alias("x"), F.col("b").alias("y")).distinct()).unionByName(twins))
     dear_stars = of_like_size(dear.join(dear_rep, "key").where("rep <> cls").select(F.col("rep").alias("x"), F.col("cls").alias("y")).distinct())
     stars = checkpointed(candidates.groupBy("y").agg(F.min("x").alias("x")).select("x", "y").unionByName(dear_stars).distinct())
 
     classes = candidates.unionByName(stars).select(F.explode(F.array("x", "y")).alias("cls")).unionByName(dear.select("cls"))
-    texts = written(texts_of(docs, text_col, classes))
+    texts = written(texts_of(docs, text_col, classes, bits))
 
     def verified(pairs: DataFrame) -> DataFrame:
         x = texts.select(F.col("cls").alias("x"), F.col("node").alias("a"), F.col("text").alias("ta"))
         y = texts.select(F.col("cls").alias("y"), F.col("node").alias("b"), F.col("text").alias("tb"))
-        return pairs.join(y, "y").join(x, "x").select("a", "ta", "b", "tb").mapInArrow(_verifier(k, num, den), "a binary, b binary")
+        return pairs.join(y, "y").join(x, "x").select("a", "ta", "b", "tb").mapInArrow(released(_verifier(k, num, den), _hashes.clear), "a binary, b binary")
 
     # First each set against the smallest that it meets; then those that are in different components still.
     found = checkpointed(verified(stars))
     roots = components(found)
-    rooted = checkpointed(texts.select("node", "cls").join(roots, "node", "left").select("node", "cls", F.coalesce("root", "node").alias("root")))
+    rooted = checkpointed(texts.select("node", "cls", "rest").join(roots, "node", "left").select("node", "cls", "rest", F.coalesce("root", "node").alias("root")))
     root_x, root_y = (rooted.select(F.col("cls").alias(c), F.col("root").alias(f"root_{c}")) for c in "xy")
     across = candidates.join(stars, ["x", "y"], "left_anti").join(root_x, "x").join(root_y, "y").where("root_x <> root_y").select("x", "y").distinct()
     more = verified(across)
 
     # Pairs of sets that both need their heavy keys: groups that such keys hold together, in blocks.
     groups = components(checkpointed(dear.join(dear_rep, "key").select(F.col("rep").alias("a"), F.col("cls").alias("b")).distinct()))
-    dense = groups.select(F.col("node").alias("cls"), F.col("root").alias("grp")).join(rooted, "cls").select("grp", "node", "cls", "root")
+    dense = groups.select(F.col("node").alias("cls"), F.col("root").alias("grp")).join(rooted, "cls").select("grp", "node", "cls", "rest", "root")
     several = dense.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("grp")
     dense = checkpointed(dense.join(several, "grp"))
     # A shingle of one set only is in no intersection: what is left of a set bounds its similarity to any other.
-    shingles = dense.select("cls").distinct().join(texts.select("cls", "text"), "cls").mapInArrow(_shingler(k), "cls long, shingle long")
-    rare = shingles.groupBy("shingle").agg(F.min("cls").alias("cls"), F.count("*").alias("n")).where("n = 1").groupBy("cls").agg(F.count("*").alias("rare"))
-    sized = dense.join(sizes, "cls").join(rare, "cls", "left").withColumn("common", F.col("n") - F.coalesce("rare", F.lit(0)))
+    shingles = dense.select("node").distinct().join(texts.select("node", "text"), "node").mapInArrow(released(_shingler(k), _hashes.clear), "node binary, shingle long")
+    rare = shingles.groupBy("shingle").agg(F.min("node").alias("node"), F.count("*").alias("n")).where("n = 1").groupBy("node").agg(F.count("*").alias("rare"))
+    sized = dense.join(sizes, ["cls", "rest"]).join(rare, "node", "left").withColumn("common", F.col("n") - F.coalesce("rare", F.lit(0)))
     # Blocks hold sets of about the same size and common part. A large component has blocks of its own, small ones are pooled.
     share = Window.partitionBy("grp", "root")
     sized = sized.withColumn("own", F.when(F.count("*").over(share) >= BLOCK, F.col("root")))
     sized = sized.withColumns({"s": F.floor(F.log("n") / math.log(1.03)).cast("int"), "c": F.floor(50 * F.col("common") / F.col("n")).cast("int")})
     cell = ["grp", "own", "s", "c"]
-    sized = checkpointed(sized.withColumn("blocks", F.ceil(F.count("*").over(Window.partitionBy(*cell)) / BLOCK).cast("int")))
+    of_cell = Window.partitionBy(*cell)
+    sized = checkpointed(sized.withColumn("blocks", F.ceil(F.greatest(F.count("*").over(of_cell) / BLOCK, F.sum("n").over(of_cell) / BLOCK_SHINGLES)).cast("int")))
     part = F.pmod(F.xxhash64("node"), F.col("blocks"))
     of_block = sized.withColumn("name", F.concat_ws("-", F.coalesce(F.hex("own"), F.lit("")), "s", "c", part))
     each = of_block.groupBy("grp", "name", "own").agg(F.min("n").alias("n"), F.max("common").alias("c"))
@@ -522,24 +551,28 @@ def links(docs: DataFrame, text_col: str, k: int, num: int, den: int) -> tuple[D
     return every, components(every), sizes
 
 
-def _named(texts: pa.Array) -> dict[str, pa.Array]:
-    nodes = [node_of(w) if (w := words_of(t)) else None for t in texts.to_pylist()]
-    return {"node": pa.array(nodes, pa.binary()), "cls": pa.array([class_of(n) if n else None for n in nodes], pa.int64())}
+def _namer(bits: int):
+    def named(texts: pa.Array) -> dict[str, pa.Array]:
+        nodes = [node_of(w) if (w := words_of(t)) else None for t in texts.to_pylist()]
+        return {"node": pa.array(nodes, pa.binary()), "cls": pa.array([n and class_of(n, bits) for n in nodes], pa.int64()), "rest": pa.array([n and rest_of(n) for n in nodes], pa.int64())}
 
+    return named
 
-def _fates(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """(id, node, cls) of every row, and (node, cls, root, id, n, n_shingles) of every text: its least id and number of rows."""
-    _, roots, sizes = links(docs, text_col, k, num, den)
-    named = checkpointed(keyed_map(docs, [id_col], text_col, _named, [("node", "binary"), ("cls", "long")]).withColumnRenamed(id_col, "id"))
+
+def _fates(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    """(id, node, cls, rest) of every row, and (node, cls, root, id, n, n_shingles) of every text: its least id and number of rows."""
+    _, roots, sizes = links(docs, text_col, k, num, den, bits)
+    named = keyed_map(docs, [id_col], text_col, _namer(bits), [("node", "binary"), ("cls", "long"), ("rest", "long")])
+    named = checkpointed(named.withColumnRenamed(id_col, "id"))
     # What is known of a text is found once, then joined to its copies.
-    least = named.where(F.col("node").isNotNull()).groupBy("node", "cls").agg(F.min("id").alias("id"), F.count("*").alias("n"))
-    least = least.join(sizes.withColumnRenamed("n", "n_shingles"), "cls", "left").join(roots, "node", "left")
+    least = named.where(F.col("node").isNotNull()).groupBy("node", "cls", "rest").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    least = least.join(sizes.withColumnRenamed("n", "n_shingles"), ["cls", "rest"], "left").join(roots, "node", "left")
     return named, least.select("node", "cls", F.coalesce("root", "node").alias("root"), "id", "n", "n_shingles")
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, bits: int = CLASS_BITS) -> DataFrame:
     """(id, n_shingles, component_id) of every row; two sets are linked where den * |both| >= num * |either|."""
-    named, texts = _fates(docs, id_col, text_col, k, num, den)
+    named, texts = _fates(docs, id_col, text_col, k, num, den, bits)
     of_root = texts.groupBy("root").agg(F.min("id").alias("component_id"))
     of_node = texts.join(of_root, "root").select("node", "n_shingles", "component_id")
     whole = named.where(F.col("node").isNotNull()).join(of_node, "node").select("id", "n_shingles", "component_id")
@@ -547,29 +580,46 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     return whole.unionByName(empty).select(F.col("id").alias(id_col), "n_shingles", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def _marker(table: bytes, bits: int):
+    """A text's node where its class is in the filter; null for all others. Spark's rows wait in the JVM."""
+
+    picked = np.frombuffer(table, np.uint8)
+
+    def of_batch(texts: pa.Array) -> pa.Array:
+        found: list[bytes | None] = []
+        for part in array_steps(texts):
+            nodes = [node_of(w) if (w := words_of(t)) else None for t in part.to_pylist()]
+            found += [n if n and in_filter(picked, class_of(n, bits)) else None for n in nodes]
+        return pa.array(found, pa.binary())
+
+    of_task = released(lambda batches: map(of_batch, batches))
+
+    @F.arrow_udf("binary")
+    def crowded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from of_task(batches)
+
+    return crowded
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, bits: int = CLASS_BITS) -> DataFrame:
     """One row of each component, with its own columns only: that of the smallest id; texts without words all stay.
 
     Only rows of a component of several rows (and a few that the filter cannot
     tell from them) are shuffled with their texts.
     """
-    _, texts = _fates(docs, id_col, text_col, k, num, den)
+    _, texts = _fates(docs, id_col, text_col, k, num, den, bits)
     # A null id comes after all others; among texts with the same id the first by name stays.
     texts = checkpointed(texts)
     keeper = texts.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("node").alias("node"))).alias("keeper"), F.sum("n").alias("rows"))
     crowded = checkpointed(texts.join(keeper.where("rows > 1"), "root").select("node", "cls", (F.col("node") == F.col("keeper.node")).alias("stays"), F.col("keeper.id").alias("keeper_id")))
-    bits = filter_bits(crowded.select("cls"))
-
-    def named(values: pa.Array) -> dict[str, pa.Array]:
-        out = _named(values)
-        table = np.frombuffer(bits, np.uint8)
-        return out | {"near": pa.array([c is not None and in_filter(table, c) for c in out["cls"].to_pylist()], pa.bool_())}
-
-    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = keyed_map(docs.select(own, F.col(f"`{text_col}`").alias("text")), ["row"], "text", named, [("node", "binary"), ("cls", "long"), ("near", "boolean")])
-    apart = rows.where(~F.col("near")).select("row.*")
-    judged = rows.where("near").join(crowded.drop("cls"), "node", "left")
-    alone = judged.where(F.col("stays").isNull()).select("row.*")
-    kept = judged.where(F.col("stays") & F.col("row")[id_col].eqNullSafe(F.col("keeper_id")))
-    first = F.row_number().over(Window.partitionBy("node", F.col("row")[id_col]).orderBy(F.to_json("row")))
-    return apart.unionByName(alone).unionByName(kept.withColumn("nth", first).where("nth = 1").select("row.*"))
+    table = filter_bits(crowded.select("cls"))
+    node = _marker(table, bits)
+    # Most rows pass by their text alone. For the others the node is kept as well: found once, since a filter on what
+    # counts as not deterministic is not pushed below it.
+    apart = docs.where(node(F.col(f"`{text_col}`")).isNull())
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _marker(table, bits).asNondeterministic()(F.col(f"`{text_col}`")).alias("node"))
+    judged = rows.where(F.col("node").isNotNull()).join(crowded.drop("cls"), "node", "left")
+    own_id = F.col("row")[id_col]
+    kept = judged.where(F.col("stays").isNull() | (F.col("stays") & own_id.eqNullSafe(F.col("keeper_id"))))
+    first = F.row_number().over(Window.partitionBy("node", own_id).orderBy(F.to_json("row")))
+    return apart.unionByName(kept.withColumn("nth", first).where("stays is null or nth = 1").select("row.*"))

@@ -36,9 +36,9 @@ def brute(rows, k, num, den):
     return sorted(((i, len(s), least.get(top(x))) for x, ((i, _), s) in enumerate(zip(rows, sets))), key=str)
 
 
-def run(spark, rows, k, num, den):
+def run(spark, rows, k, num, den, bits=64):
     docs = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in rows], "doc_id long, text string, node string, cls int, root int")
-    return sorted((tuple(r) for r in jaccard_join.join(docs, k=k, num=num, den=den).collect()), key=str)
+    return sorted((tuple(r) for r in jaccard_join.join(docs, k=k, num=num, den=den, bits=bits).collect()), key=str)
 
 
 def crowd(n, seed, words=120, edits=6):
@@ -54,9 +54,11 @@ def crowd(n, seed, words=120, edits=6):
     return out
 
 
-@pytest.mark.parametrize(("k", "num", "den"), [(4, 85, 100), (5, 80, 100)])
-def test_against_brute_force(spark, monkeypatch, k, num, den):
+@pytest.mark.parametrize(("k", "num", "den", "bits", "shingles"), [(4, 85, 100, 64, 1 << 20), (5, 80, 100, 64, 1000), (4, 85, 100, 4, 1000)])
+def test_against_brute_force(spark, monkeypatch, k, num, den, bits, shingles):
+    """Also with blocks bounded by their shingles, and with classes that many different texts fall into."""
     monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", shingles)
     rnd = random.Random(k)
     texts = crowd(90, 1) + crowd(40, 2, words=60, edits=3)
     shared = " ".join(f"p{i}" for i in range(40))
@@ -64,7 +66,7 @@ def test_against_brute_force(spark, monkeypatch, k, num, den):
     texts += [" ".join(rnd.choice("abc") for _ in range(rnd.randint(0, 12))) for _ in range(40)]
     texts += [None, "", "  \n", "A b", "a B", "one two three", "One two three ", "x y z u v w", "x y z u v w"]
     rows = list(enumerate(texts)) + [(3, texts[3]), (None, texts[5]), (None, "alone here with words"), (None, None)]
-    assert run(spark, rows, k, num, den) == brute(rows, k, num, den)
+    assert run(spark, rows, k, num, den, bits) == brute(rows, k, num, den)
 
 
 def test_empty_table(spark):
