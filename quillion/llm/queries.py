@@ -32,8 +32,8 @@ def _tokenizer(name: str) -> str:
 @_query
 def op1_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = audio.store(_table(spark, sf_dir, "documents"))
-    found = audio.read(media, ["doc_id", "n_bytes"], keep_pcm=False)
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec")
+    found = audio.read(media, ["doc_id", "n_bytes"])
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec", "pcm")
 
 
 @_query
@@ -62,7 +62,7 @@ TOKEN_LIMIT = 4096
 @_query
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
-    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"), "prefix_changes")
 
 
 SHARDS = 24
