@@ -21,6 +21,9 @@ def of(spark):
         ("iffPr(E | H1 & K) > Pr(E | H2 & K)", r"iff \operatorname{Pr}(E | H_{1} \& K) > \operatorname{Pr}(E | H_{2} \& K)"),
         ("∑x + ∫y ≥ z ∴ H1 ‡", r"\sum x + \int y \geq z \therefore H_{1} \ddagger"),
         ("√ 2", r"\sqrt{2}"),
+        ("{x²}", r"{x ^{2}}"),
+        ("x² }", r"x ^{2}}"),
+        ("a₁² b²₁ {cᵢ₂} ⁿ", r"a _{1} ^{2} b ^{2} _{1} {c ^{i} _{2}} ^{n}"),
     ],
 )
 def test_latex(of, text, want):
