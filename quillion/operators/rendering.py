@@ -15,6 +15,9 @@ COMMON_HEADINGS = ["abstract", "acknowledgements", "acknowledgments", "appendix"
 #: List markers as they stand at the start of an item.
 LIST_MARKER = r"^(?:[•·∙]|[-*]|\(\d{1,3}[′']\)|\d{1,3}[′'][.]?|\d{1,3}[.)]|\(?[a-z]\)|[xyz{])[\s.]*"
 
+#: How far below, in lines, and how far left, in points and in sizes, a line may stand that goes on with a list item.
+CONTINUATION_GAP, CONTINUATION_LEFT, CONTINUATION_LEFT_SIZES = 1.7, 3.0, 0.35
+
 
 def is_common_heading(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), "^[ .:]+|[ .:]+$", "").isin(COMMON_HEADINGS)
@@ -230,3 +233,18 @@ def inline_markers(spans: DataFrame, numeric_bibliography: Column) -> DataFrame:
     )
     rows = rows.withColumn("found", found).where("found is not null")
     return rows.select("doc_id", "page", "line", "k", "found.*")
+
+
+def is_references_heading(c: Column) -> Column:
+    return tx.clean_text(c).rlike(r"(?i)^references\b")
+
+
+def continues_list(first_x0: Column, first_column: Column, gap: Column, candidate: dict[str, Column], previous: dict[str, Column]) -> Column:
+    """Whether a line goes on with the list item that began at ``first_x0``: same column, near the line before, not left of the item, no numbered heading.
+
+    ``candidate`` and ``previous``: size and height, ``candidate`` also x0, column and text.
+    """
+    tall = F.greatest(previous["size"], candidate["size"], previous["height"], candidate["height"], F.lit(1.0))
+    near = gap <= tall * CONTINUATION_GAP
+    inside = candidate["x0"] >= first_x0 - F.greatest(F.lit(CONTINUATION_LEFT), candidate["size"] * CONTINUATION_LEFT_SIZES)
+    return (first_column == candidate["column"]) & near & inside & ~layout.numbered_heading(candidate["text"])

@@ -90,28 +90,29 @@ ranked as (select *, row_number() over (partition by doc_id, "window" order by n
 found as (select doc_id, "window" * 100 + r as seq, term, least(n, 5)::double as importance, 'seen ' || n || ' times' as reason, indexes from ranked where r <= 10),
 keyed as (select *, {sql.normalize_term("term")} as key from found),
 merged as (select doc_id, key, arg_min(term, seq) as term, max(importance) as importance, count(*) as frequency, arg_min(reason, seq) as reason, list_sort(list_distinct(flatten(list(indexes)))) as indexes from keyed where length(key) >= 3 group by doc_id, key),
-scored as (select *, importance * 10 + frequency * 2 + len(indexes) as score from merged),
+others as (select doc_id, key, string_agg(a, ',' order by s) as aliases from (select doc_id, key, term || 's' as a, min(seq) as s from keyed where length(key) >= 3 group by all) group by doc_id, key),
+scored as (select *, importance * 10 + frequency * 2 + len(indexes) as score from merged left join others using (doc_id, key)),
 top as (select * from (select *, row_number() over (partition by doc_id order by score desc, lower(term), term) as rank from scored) where rank <= 40)"""
 
 
 def _top(spark, sf_dir):
     found = terms.discover(paragraphs.windows(paragraphs.paragraphs(_docs(spark, sf_dir))))
+    found = found.withColumn("aliases", F.array(F.upper("term"), F.concat("term", F.lit("s"))))
     return terms.merge_candidates(found.withColumn("seq", F.col("window") * 100 + F.col("rank")))
 
 
-@query("a1_o1_merge_terms", f"{_MERGED} select doc_id, key, term, importance, frequency, reason, array_to_string(indexes, ',') as indexes, score::double as score, rank from top")
+@query("a1_o1_merge_terms", f"{_MERGED} select doc_id, key, term, importance, frequency, reason, array_to_string(indexes, ',') as indexes, score::double as score, rank, aliases from top")
 def a1_o1_merge_terms(spark, sf_dir):
     t = _top(spark, sf_dir)
-    return t.withColumns({"indexes": F.array_join(F.transform("indexes", lambda i: i.cast("string")), ","), "rank": F.col("rank").cast("long")})
+    return t.withColumns({"indexes": F.array_join(F.transform("indexes", lambda i: i.cast("string")), ","), "rank": F.col("rank").cast("long"), "aliases": F.array_join("aliases", ",")})
 
 
-@query("p3_pending_terms", f"{_MERGED} select doc_id, key, rank from top where key not in (select distinct {sql.normalize_term('split_part(text, chr(32), 1)')} from benchmark)")
+@query("p3_pending_terms", f"{_MERGED} select doc_id, key, rank from top where key not in (select distinct {sql.normalize_term('split_part(text, chr(32), 1)')} from benchmark union all select {sql.normalize_term('split_part(text, chr(32), 2)')} from benchmark)")
 def p3_pending_terms(spark, sf_dir):
-    from quillion.functions import text
-
+    """Every document has the benchmark's first words as cached terms, with the second ones as aliases."""
     top = _top(spark, sf_dir)
-    words = table(spark, sf_dir, "benchmark").select(text.normalize_term(F.substring_index("text", " ", 1)).alias("key")).distinct()
-    cached = top.join(words, "key", "left_semi").select("doc_id", "key")
+    entries = table(spark, sf_dir, "benchmark").selectExpr("0 as doc_id", "split(text, ' ')[0] as term", "array(split(text, ' ')[1]) as aliases")
+    cached = top.join(terms.cached_keys(entries).select("key").distinct(), "key", "left_semi").select("doc_id", "key")
     return terms.pending(top, cached).select("doc_id", "key", F.col("rank").cast("long").alias("rank"))
 
 
@@ -208,3 +209,26 @@ select doc_id, term, spelling, start::bigint as start from (select *, row_number
 def j4_term_at(spark, sf_dir):
     lines = table(spark, sf_dir, "documents").selectExpr("doc_id", "substring_index(text, '\\n', 1) as line", "doc_id % 30 as position")
     return terms.term_at(lines, _terms(lines)).select("doc_id", "term", "spelling", F.col("start").cast("long").alias("start"))
+
+
+@query(
+    "h2_hover",
+    f"""with {_DOCS}, lines as (select doc_id, replace(text, chr(10), ' ') as md, (length(text) // 2)::bigint as position from documents),
+asked(term, nth, spelling) as (values ('the', 0, 'the'), ('the', 1, 'The'), ('the', 2, 'of the'), ('that', 0, 'that'), ('que', 0, 'que'), ('que', 1, 'de la'), ('und', 0, 'und'), ('zzz', 0, 'zzz')),
+cut as (select doc_id, position, term, nth, spelling, unnest(l) as piece, generate_subscripts(l, 1) as pos, length(spelling) as k, lower(md) as hay from (select *, string_split(lower(md), lower(spelling)) as l from lines, asked)),
+ats as (select *, sum(length(piece)) over (partition by doc_id, term, nth order by pos) + (pos - 1) * k as start, lead(pos) over (partition by doc_id, term, nth order by pos) as more from cut),
+occ as (select * from ats where more is not null and not regexp_matches(substr(hay, start::int, case when start = 0 then 0 else 1 end), '[A-Za-z0-9_-]') and not regexp_matches(substr(hay, (start + k + 1)::int, 1), '[A-Za-z0-9_-]') and start <= position and position <= start + k),
+best as (select doc_id, spelling, start::bigint as start from (select *, row_number() over (partition by doc_id order by k desc, term, start, nth) as r from occ) where r = 1),
+w as (select doc_id, position, regexp_extract(left(md, position), '[A-Za-z-]*$') as b, regexp_extract(substr(md, position + 1), '^[A-Za-z-]*') as a from lines)
+select doc_id, case when spelling is not null then 'prepared' else 'word' end as kind, coalesce(spelling, b || a) as text, coalesce(start, position - length(b)) as start, case when spelling is not null then case when doc_id % 2 = 0 then 'first' else 'second' end end as label
+from w left join best using (doc_id) where spelling is not null or length(b || a) >= 5""",
+)
+def h2_hover(spark, sf_dir):
+    """The middle of each whole text; the first context of every other document is all of it."""
+    lines = table(spark, sf_dir, "documents").selectExpr("doc_id", "replace(text, '\n', ' ') as line", "cast(length(text) div 2 as long) as position")
+    asked = _terms(lines)
+    whole = F.col("position") * 2 + 2
+    first = F.struct(F.lit(1).alias("nth"), F.lit("first").alias("label"), F.lit(0).cast("long").alias("start"), F.when(F.col("doc_id") % 2 == 0, whole).otherwise(F.lit(-1)).cast("long").alias("end"))
+    second = F.struct(F.lit(2).alias("nth"), F.lit("second").alias("label"), F.col("position").alias("start"), whole.alias("end"))
+    found = asked.join(lines.select("doc_id", "position"), "doc_id").select("doc_id", "term", F.explode(F.array(first, second)).alias("c")).select("doc_id", "term", "c.*")
+    return terms.hovered(lines, asked, found)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillion.operators import layout, rendering
@@ -148,3 +149,18 @@ def a23_p15_inline_markers(spark, sf_dir):
     lowered = F.col("text") == "2"
     spans = words.withColumns({"size": F.when(raised | lowered, 6.0).otherwise(10.0), "y0": F.when(lowered, 104.0).otherwise(100.0), "y1": F.when(raised, 105.0).otherwise(110.0), "line_size": F.lit(10.0), "line_y0": F.lit(100.0), "line_y1": F.lit(110.0), "body_size": F.lit(10.0), "region": F.lit("body"), "role": F.lit(""), "density": F.lit(0.0)})
     return rendering.inline_markers(spans, F.col("doc_id") % 2 == 0)
+
+
+@query(
+    "p12_list_continuations",
+    f"""with {_LINES}, c as (select *, case when doc_id % 4 = 0 then (x0 > 300)::int else 0 end as col from lines), j as (select *, lag(x0, 2) over w as fx, lag(col, 2) over w as fc, lag(y1) over w as py, lag(size) over w as ps, lag(y1 - y0) over w as ph from c window w as (partition by doc_id, page order by line))
+select doc_id, line, fc = col and y0 - py <= greatest(ps, size, ph, y1 - y0, 1) * 1.7 and x0 >= fx - greatest(3, size * 0.35) and not (length(text) <= 160 and (regexp_matches(text, '{layout.NUMBERED}') or regexp_matches(text, '{layout.ROMAN}'))) as goes_on from j where fx is not null""",
+)
+def p12_list_continuations(spark, sf_dir):
+    """Each line against the line two before it as the item's first."""
+    lines = _lines(spark, sf_dir).withColumn("column", F.when(F.col("doc_id") % 4 == 0, (F.col("x0") > 300).cast("int")).otherwise(0)).withColumn("height", F.col("y1") - F.col("y0"))
+    w = Window.partitionBy("doc_id", "page").orderBy("line")
+    lag = lambda c, n: F.lag(c, n).over(w)
+    own = {n: F.col(n) for n in ("size", "height", "x0", "column", "text")}
+    goes_on = rendering.continues_list(lag("x0", 2), lag("column", 2), F.col("y0") - lag("y1", 1), own, {"size": lag("size", 1), "height": lag("height", 1)})
+    return lines.select("doc_id", "line", goes_on.alias("goes_on"), lag("x0", 2).alias("first")).where("first is not null").drop("first")

@@ -95,3 +95,25 @@ def test_highlights_come_off(spark):
     assert marked.first().markdown.startswith("==Sheep may safely graze by night.== Sheep may") and marked.first().markdown.count("==") == 4
     records = spark.createDataFrame([(1, 0, "Sheep may safely graze by night."), (1, 5, "x")], "doc_id long, paragraph int, text string")
     assert glossary.unhighlight(marked, records).first().markdown == md
+
+
+@pytest.mark.parametrize(
+    ("text", "want", "told"),
+    [
+        ("a [remark on it] b [[wiki]] c![alt] d [t](u) e\\[f\\]", "a \\[remark on it\\] b [[wiki]] c![alt] d [t](u) e\\[f\\]", {"literal_square_bracket_escape": 1}),
+        ("[x = y + z] and [the x = y + z] and [$u$] [$u$ so]", "[x = y + z] and \\[the x = y + z\\] and [$u$] \\[$u$ so\\]", {"literal_square_bracket_escape": 2}),
+        ("[a <= b [c d] e", "\\[a <= b [c d\\] e", {"literal_square_bracket_escape": 1}),
+        ("[" + "q " * 120 + "[inner one]", None, {"literal_square_bracket_escape": 1}),
+        ("> [!note] kept [so]\nnot [kept]", "> [!note] kept [so]\nnot \\[kept\\]", {"literal_square_bracket_escape": 1}),
+        ("## 2.1. On Rain. It falls\n\ndown here.", "## 2.1. On Rain.\n\nIt falls down here.", {"numbered_heading_body_split": 1}),
+        ("### 3.2.1. On Snow. It melts inter-\n\nmittently.", "### 3.2.1. On Snow.\n\nIt melts intermittently.", {"numbered_heading_body_split": 1}),
+        ("see$ m $now, h$_{2}$o and $k$.", "see $m$ now, h$_{2}$o and $k$.", {"space_before_inline_math": 1, "space_after_inline_math": 1, "inline_math_inner_space": 1}),
+        ("$a$ $b$\nc\n\n\n\nd", "$a b$\nc\n\nd", {"inline_math_fragments": 1, "blank_lines": 1}),
+        ("cost is 5$ today", "cost is 5$ today", {"warnings": ["unbalanced_inline_math: 1"]}),
+        ("", "", {"warnings": []}),
+        (None, "", {"warnings": []}),
+    ],
+)
+def test_polish(spark, text, want, told):
+    row = markup.polish(spark.createDataFrame([(text,)], "t string"), "t").first()
+    assert (want is None or row.t == want + "\n") and {n: row[n] for n in told} == told, row
