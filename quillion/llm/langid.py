@@ -24,14 +24,16 @@ texts of any length are read whole.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillion.llm.batches import keyed_map
+from quillion.llm.batches import array_steps, bound_batches, keyed_map, released
 
 NGRAMS = 4
 PLACES = 1 << 15
@@ -183,7 +185,24 @@ def predict(docs: DataFrame, model: Classifier | None, id_col: str = "doc_id", t
 
 
 def keep_identified(docs: DataFrame, model: Classifier | None, least_score: float, text_col: str = "text") -> DataFrame:
-    """Rows, with their own columns only, whose language is known with at least this score."""
-    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    judged = keyed_map(docs.select(own.alias("row"), F.col(f"`{text_col}`").alias("t")), ["row"], "t", _scorer(model), [("lang_pred", "string"), ("score", "double")])
-    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select("row.*")
+    """Rows, with their own columns only, whose language is known with at least this score.
+
+    Only the text goes to Python, and a boolean comes back: rows wait in the JVM.
+    """
+    score = _scorer(model)
+
+    def of_batch(texts: pa.Array) -> pa.Array:
+        found = []
+        for part in array_steps(texts):
+            judged = score(part)
+            found.append(pc.and_(pc.not_equal(judged["lang_pred"], UNKNOWN), pc.greater_equal(judged["score"], least_score)))
+        return pa.concat_arrays(found) if found else pa.array([], pa.bool_())
+
+    of_task = released(lambda batches: map(of_batch, batches))
+
+    @F.arrow_udf("boolean")
+    def identified(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from of_task(batches)
+
+    bound_batches(docs.sparkSession)
+    return docs.where(identified(F.col(f"`{text_col}`")))
