@@ -1,7 +1,8 @@
 """Queries of the layout engine.
 
 No table has page geometry: the declared input view makes each line of a
-document's text a line on a page of 12, with boxes and sizes by arithmetic.
+document's text, whole, a line on a page of 12, with boxes and sizes by
+arithmetic. The first of the 12 is not the document's: it has the page's number.
 """
 
 from __future__ import annotations
@@ -20,14 +21,14 @@ cast(case when doc_id % 4 = 0 then (case when pos % 2 = 0 then 60 else 320 end)
 cast(case when doc_id % 4 = 0 then (case when pos % 2 = 0 then 280 else 540 end) when pos % 5 = 0 then 470 else 460 + (pos % 7) * 12 end as double) as x1,
 case when pos % 12 >= 10 then cast(8 as double) else cast(10 + pos % 3 as double) end as size, pos % 6 = 0 as bold,
 case when pos % 12 >= 10 then 'footnote' when pos % 12 = 9 then 'figure' when pos % 12 = 0 then 'header' else 'body' end as region,
-concat(case pos % 9 when 1 then '1. ' when 2 then '(a) ' when 3 then '• ' when 4 then '(3′) ' when 5 then 'x A ' when 6 then '12) ' when 8 then '[12] ' else '' end, case when pos % 12 = 0 then concat('Page ', 1 + floor(pos / 12)) else substr(x, 1, 60) end) as text"""
-_LINES = f"lines as (select {_COLUMNS} from (select doc_id, unnest(l) as x, generate_subscripts(l, 1) - 1 as pos from (select doc_id, string_split(text, chr(10)) as l from documents)))"
+concat(case pos % 9 when 1 then '1. ' when 2 then '(a) ' when 3 then '• ' when 4 then '(3′) ' when 5 then 'x A ' when 6 then '12) ' when 8 then '[12] ' else '' end, case when pos % 12 = 0 then concat('Page ', cast(1 + floor(pos / 12) as int)) else x end) as text"""
+_LINES = f"cut as (select doc_id, unnest(l) as x, generate_subscripts(l, 1) - 1 as nth from (select doc_id, string_split(text, chr(10)) as l from documents)), lines as (select {_COLUMNS} from (select doc_id, x, nth + nth // 11 + 1 as pos from cut union all select doc_id, '', nth + nth // 11 from cut where nth % 11 = 0))"
 
 
 def _lines(spark, sf_dir):
-    cut = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "x"))
-    # The page number is written without a fraction in both engines.
-    return cut.selectExpr(*_split_columns(_COLUMNS.replace("concat('Page ', 1 + floor(pos / 12))", "concat('Page ', cast(1 + floor(pos / 12) as int))")))
+    cut = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("nth", "x"))
+    own = "named_struct('pos', nth + nth div 11 + 1, 'x', x)"
+    return cut.selectExpr("doc_id", f"inline(if(nth % 11 = 0, array(named_struct('pos', nth + nth div 11, 'x', ''), {own}), array({own})))").selectExpr(*_split_columns(_COLUMNS))
 
 
 def _split_columns(text: str) -> list[str]:
@@ -42,14 +43,6 @@ def _split_columns(text: str) -> list[str]:
     return [x.strip() for x in [*out, text[last:]]]
 
 
-def _whole_lines(spark, sf_dir):
-    """The view of queries without an oracle: whole lines, with the page number in front of each 12th."""
-    cut = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "x"))
-    whole = _COLUMNS.replace("concat('Page ', 1 + floor(pos / 12))", "concat('Page ', cast(1 + floor(pos / 12) as int), ' ', x)").replace("substr(x, 1, 60)", "x")
-    return cut.selectExpr(*_split_columns(whole))
-
-
-_LINES = _LINES.replace("concat('Page ', 1 + floor(pos / 12))", "concat('Page ', cast(1 + floor(pos / 12) as int))")
 _CLEAN = f"regexp_replace(regexp_replace({_repair_sql('text')}, '[ \\t]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')"
 
 
@@ -129,14 +122,14 @@ def a14_footnote_starts(spark, sf_dir):
 @query(
     "w4_merged_fragments",
     """with f as (select doc_id, 1 as page, k as line, word as text, (60 + 50 * (k % 8) + case when k % 5 = 0 then 30 else 0 end)::double as x0, (105 + 50 * (k % 8))::double as x1, (100 + 14 * (k // 8))::double as y0, (110 + 14 * (k // 8))::double as y1, (10 + case when k % 7 = 0 then 2 else 0 end)::double as size
-from (select doc_id, unnest(w) as word, generate_subscripts(w, 1) - 1 as k from (select doc_id, string_split(replace(text, chr(10), ' '), ' ')[1:60] as w from documents))),
+from (select doc_id, unnest(w) as word, generate_subscripts(w, 1) - 1 as k from (select doc_id, string_split(replace(text, chr(10), ' '), ' ') as w from documents))),
 o as (select *, lag(x1) over w as px1, lag(y0) over w as py0, lag(y1) over w as py1, lag(size) over w as ps from f window w as (partition by doc_id order by round_even(y0 / 2.0, 0) * 2.0, x0, line)),
 j as (select *, coalesce(abs(ps - size) <= greatest(0.35, ps * 0.04) and abs((py0 + py1) / 2 - (y0 + y1) / 2) <= greatest(1.6, greatest(ps, size, 1) * 0.22) and least(py1, y1) - greatest(py0, y0) >= least(py1 - py0, y1 - y0) * 0.55 and x0 - px1 between -1 and greatest(22, greatest(ps, size, 1) * 3.2), false) as joins from o),
 s as (select *, sum(case when joins then 0 else 1 end) over (partition by doc_id order by round_even(y0 / 2.0, 0) * 2.0, x0, line) as session from j)
 select doc_id, min(line)::int as line, string_agg(text, ' ' order by x0, round_even(y0 / 2.0, 0), line) as text, min(x0) as x0, max(x1) as x1 from s group by doc_id, session""",
 )
 def w4_merged_fragments(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.slice(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "), 1, 60)).alias("k", "text"))
+    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("k", "text"))
     frag = words.selectExpr("doc_id", "1 as page", "k as line", "text", "cast(60 + 50 * (k % 8) + if(k % 5 = 0, 30, 0) as double) as x0", "cast(105 + 50 * (k % 8) as double) as x1", "cast(100 + 14 * (k div 8) as double) as y0", "cast(110 + 14 * (k div 8) as double) as y1", "cast(10 + if(k % 7 = 0, 2, 0) as double) as size")
     return layout.merged_fragments(frag).select("doc_id", "line", "text", "x0", "x1")
 
@@ -232,16 +225,16 @@ def w5_footnote_groups(spark, sf_dir):
 
 @query(
     "a15_w6_note_profile",
-    f"""with {_LINES}, c as (select *, case when line = 20 then 'References' else {_CLEAN} end as t from lines), s as (select *, bool_or(regexp_matches(t, '(?i)^references\\b')) over (partition by doc_id order by line) as seen, regexp_extract_all(t, '\\[(\\d{{1,4}})\\]', 1) as found from c)
+    f"""with {_LINES}, c as (select *, case when line = 20 then 'References ' else '' end || {_CLEAN} as t from lines), s as (select *, bool_or(regexp_matches(t, '(?i)^references\\b')) over (partition by doc_id order by line) as seen, regexp_extract_all(t, '\\[(\\d{{1,4}})\\]', 1) as found from c)
 select doc_id, coalesce(bool_or(seen and len(found) > 0), false) or (bool_or(seen) and coalesce(sum(len(found)) filter (not seen and 96 < y0 and y0 < 720), 0) > 0) as bibliography, count(*) filter (region = 'footnote') > 0 as footnotes, bool_or(seen) and count(*) filter (region = 'footnote') = 0 as endnotes,
 coalesce(array_to_string(list_sort(list_distinct(flatten(list(found) filter (seen)))), ','), '') as markers from s group by doc_id""",
 )
 def a15_w6_note_profile(spark, sf_dir):
-    lines = _lines(spark, sf_dir).withColumn("text", F.when(F.col("line") == 20, "References").otherwise(F.col("text")))
+    lines = _lines(spark, sf_dir).withColumn("text", F.when(F.col("line") == 20, F.concat(F.lit("References "), "text")).otherwise(F.col("text")))
     return layout.note_profile(lines).withColumn("markers", F.array_join("markers", ","))
 
 
 @query("t8_reference_entries")
 def t8_reference_entries(spark, sf_dir):
-    lines = _whole_lines(spark, sf_dir).withColumn("text", F.when(F.col("line") == 0, "References").otherwise(F.col("text")))
+    lines = _lines(spark, sf_dir).withColumn("text", F.when(F.col("line") == 0, "References").otherwise(F.col("text")))
     return layout.reference_entries(lines)

@@ -149,13 +149,13 @@ def o7_first_answered(spark, sf_dir):
 
 @query(
     "p4_targets",
-    f"""with e as (select page_id, case page_id % 5 when 0 then 'matched' when 1 then 'not_found' when 2 then 'failed' when 3 then null else 'odd' end as status from pages)
-select page_id, status from e where page_id % 2 = 0 and coalesce(status, '') not in ('matched', 'not_found')""",
+    f"""with e as (select page_id, case page_id % 5 when 0 then 'matched' when 1 then 'not_found' when 2 then 'failed' when 3 then null else 'odd' end as status, url from pages)
+select page_id, status from e where url like '%/e%' and coalesce(status, '') not in ('matched', 'not_found')""",
 )
 def p4_targets(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     e = pages.selectExpr("page_id", "case page_id % 5 when 0 then 'matched' when 1 then 'not_found' when 2 then 'failed' when 3 then null else 'odd' end as status")
-    return entries.targets(e, pages.where("page_id % 2 = 0"), "page_id")
+    return entries.targets(e, pages.where("url like '%/e%'"), "page_id")
 
 
 @query(

@@ -199,7 +199,7 @@ def j3_choose_cluster(spark, sf_dir):
 
 @query(
     "j4_term_at",
-    f"""with {_DOCS}, lines as (select doc_id, split_part(text, chr(10), 1) as md, doc_id % 30 as position from documents),
+    f"""with {_DOCS}, lines as (select doc_id, replace(text, chr(10), ' ') as md, (length(text) * (doc_id % 30) // 30)::bigint as position from documents),
 asked(term, nth, spelling) as (values ('the', 0, 'the'), ('the', 1, 'The'), ('the', 2, 'of the'), ('that', 0, 'that'), ('que', 0, 'que'), ('que', 1, 'de la'), ('und', 0, 'und'), ('zzz', 0, 'zzz')),
 cut as (select doc_id, position, term, nth, spelling, unnest(l) as piece, generate_subscripts(l, 1) as pos, length(spelling) as k, lower(md) as hay from (select *, string_split(lower(md), lower(spelling)) as l from lines, asked)),
 ats as (select *, sum(length(piece)) over (partition by doc_id, term, nth order by pos) + (pos - 1) * k as start, lead(pos) over (partition by doc_id, term, nth order by pos) as more from cut),
@@ -207,7 +207,7 @@ occ as (select * from ats where more is not null and not regexp_matches(substr(h
 select doc_id, term, spelling, start::bigint as start from (select *, row_number() over (partition by doc_id order by k desc, term, start, nth) as r from occ) where r = 1""",
 )
 def j4_term_at(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").selectExpr("doc_id", "substring_index(text, '\\n', 1) as line", "doc_id % 30 as position")
+    lines = table(spark, sf_dir, "documents").selectExpr("doc_id", "replace(text, '\n', ' ') as line", "cast(length(text) * (doc_id % 30) div 30 as long) as position")
     return terms.term_at(lines, _terms(lines)).select("doc_id", "term", "spelling", F.col("start").cast("long").alias("start"))
 
 

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from quillion.operators import layout, rendering
 from quillion.plans import sql
-from quillion.plans.layout_queries import _CLEAN, _LINES, _RANK, _lines, _whole_lines
+from quillion.plans.layout_queries import _CLEAN, _LINES, _RANK, _lines
 from quillion.plans.registry import query
 from quillion.session import table
 
 _COMMON = sql.quoted(rendering.COMMON_HEADINGS)
-_HEADINGS = f"""with {_LINES}, c as (select *, {_CLEAN} as t, case when line % 4 = 0 then upper(substr({_CLEAN}, 1, 8)) else {_CLEAN} end as u from lines),
+_HEADINGS = f"""with {_LINES}, c as (select *, {_CLEAN} as t, case when line % 4 = 0 then upper({_CLEAN}) else {_CLEAN} end as u from lines),
 h as (select *, regexp_replace(u, '[^A-Za-z]', '', 'g') as letters, regexp_extract(u, '^(\\S+)', 1) as first from c),
 heads as (select *, case when (length(u) <= 160 and regexp_matches(u, '(?i)^[IVXLCDM]+[.)]\\s+\\S')) or list_contains({_COMMON}, regexp_replace(lower(u), '^[ .:]+|[ .:]+$', '', 'g')) then 2
  when u <> '' and size <= 11 * 0.95 and y0 <= 560 and length(u) <= 32 and len(regexp_split_to_array(trim(u), '\\s+')) <= 3 and letters <> '' and upper(letters) = letters then 3
@@ -24,7 +24,7 @@ def _heads(spark, sf_dir):
     from quillion.functions.text import clean_text
 
     c = clean_text(F.col("text"))
-    lines = _lines(spark, sf_dir).withColumn("text", F.when(F.col("line") % 4 == 0, F.upper(F.substring(c, 1, 8))).otherwise(F.col("text")))
+    lines = _lines(spark, sf_dir).withColumn("text", F.when(F.col("line") % 4 == 0, F.upper(c)).otherwise(F.col("text")))
     return rendering.headings(lines.withColumn("body_size", F.lit(11.0)))
 
 
@@ -47,12 +47,15 @@ def p10_display_quotes(spark, sf_dir):
 
 @query(
     "j15_p13_figure_lines",
-    f"""with {_LINES}, v as (select * replace (case when line % 3 = 0 then '(ABC)' else text end as text) from lines), c as (select doc_id, page, line as c_line, greatest(y0 - 180, 0) as top, y0 + greatest(12, size * 1.5) as low from v where region = 'figure')
+    f"""with {_LINES}, v as (select * replace (line * 2 as line) from lines union all select * replace (line * 2 + 1 as line, '(ABC)' as text) from lines where line % 3 = 0), c as (select doc_id, page, line as c_line, greatest(y0 - 180, 0) as top, y0 + greatest(12, size * 1.5) as low from v where region = 'figure')
 select doc_id, page, line from v where region = 'figure' union select v.doc_id, v.page, v.line from v join c using (doc_id, page) where line <> c_line and y0 >= top and y1 <= low and text <> '' and length({_CLEAN}) <= 90
 and (regexp_matches({_CLEAN}, '^\\(?[A-Z]{{1,6}}[0-9]?\\)?$') or regexp_matches({_CLEAN}, '[&=↑⇑⇕→↔⊃≡∀∃]') or regexp_matches({_CLEAN}, '^\\([A-Z]{{1,8}}\\)$'))""",
 )
 def j15_p13_figure_lines(spark, sf_dir):
-    return rendering.figure_lines(_lines(spark, sf_dir).withColumn("text", F.when(F.col("line") % 3 == 0, "(ABC)").otherwise(F.col("text"))))
+    """A short label beside every third line."""
+    lines = _lines(spark, sf_dir)
+    labels = lines.where("line % 3 = 0").withColumns({"line": F.col("line") * 2 + 1, "text": F.lit("(ABC)")})
+    return rendering.figure_lines(lines.withColumn("line", F.col("line") * 2).unionByName(labels))
 
 
 _NODES_SQL = """nodes as (select doc_id, pos, x as text, case pos % 5 when 0 then 'heading' when 1 then 'list_item' when 2 then 'list_item' when 3 then 'blockquote' else 'paragraph' end as kind, pos % 8 as level, case when pos % 3 = 0 then 'ordered' else 'unordered' end as list_kind, pos % 2 as list_level, pos % 4 as list_index, case when pos % 7 = 6 then '(3′)' else '' end as list_marker
@@ -112,7 +115,7 @@ def k16_u4_notes(spark, sf_dir):
 
 @query("k17_references")
 def k17_references(spark, sf_dir):
-    lines = _whole_lines(spark, sf_dir).withColumn("text", F.when(F.col("line") == 0, "References").otherwise(F.col("text")))
+    lines = _lines(spark, sf_dir).withColumn("text", F.when(F.col("line") == 0, "References").otherwise(F.col("text")))
     return rendering.render_references(layout.reference_entries(lines))
 
 
@@ -144,7 +147,7 @@ def p5_a24_regions(spark, sf_dir):
 
 @query("a23_p15_inline_markers")
 def a23_p15_inline_markers(spark, sf_dir):
-    words = _whole_lines(spark, sf_dir).select("doc_id", "page", "line", F.posexplode(F.split(F.concat("text", F.lit(" [12] 3 H 2 )")), " ")).alias("k", "text"))
+    words = _lines(spark, sf_dir).select("doc_id", "page", "line", F.posexplode(F.split(F.concat("text", F.lit(" [12] 3 H 2 )")), " ")).alias("k", "text"))
     raised = F.col("text") == "3"
     lowered = F.col("text") == "2"
     spans = words.withColumns({"size": F.when(raised | lowered, 6.0).otherwise(10.0), "y0": F.when(lowered, 104.0).otherwise(100.0), "y1": F.when(raised, 105.0).otherwise(110.0), "line_size": F.lit(10.0), "line_y0": F.lit(100.0), "line_y1": F.lit(110.0), "body_size": F.lit(10.0), "region": F.lit("body"), "role": F.lit(""), "density": F.lit(0.0)})

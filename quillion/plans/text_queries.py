@@ -120,10 +120,10 @@ TERMS = [(1, "  Transcendental   Idealism. "), (2, "**Éclat** & “Élan”"),
 
 @query(
     "f3_f4_term_keys",
-    f"select id, {sql.normalize_term('x')} as term_key, {sql.slugify('x')} as slug from (select doc_id as id, split_part(text, '.', 1) as x from documents union all select -id, x from {sql.values(TERMS, 'id, x')})",
+    f"select id, {sql.normalize_term('x')} as term_key, {sql.slugify('x')} as slug from (select doc_id as id, text as x from documents union all select -id, x from {sql.values(TERMS, 'id, x')})",
 )
 def f3_f4_term_keys(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring_index("text", ".", 1).alias("x"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("x"))
     both = docs.unionByName(sql.frame(spark, [(-i, t) for i, t in TERMS], "id long, x string"))
     return both.select("id", text.normalize_term(F.col("x")).alias("term_key"), text.slugify(F.col("x")).alias("slug"))
 
