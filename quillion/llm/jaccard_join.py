@@ -9,11 +9,15 @@ neighbourhood). Sharing the subset's key takes 0 differences in the segment,
 sharing one of the neighbourhood at most 1: a segment is worth 1, or 2 in the
 zone, and linked sets must share a key in segments worth H + 1 together.
 
-Allocation by cost: keys of more than HEAVY sets are dear. A set that still has
-segments worth H + 1 without its heavy keys does without them. Of two linked
-sets it is enough that one can: the pair meets in a cheap key. Only pairs of
-sets that both cannot are left; they are compared in blocks, of which most are
-ruled out by the shingles that a set shares with no other.
+Allocation by cost: a key that all its sets keep costs a row for each pair of
+them. One that they go without costs a row for each set, and from each a part of
+what it can spare, at the price of a set that has spent all: its text is fetched
+and compared with others in full (DEAR_COST). The cheaper of the two is taken for
+each key, so keys are dropped first where many sets share them and can spare
+them. A set that still has segments worth H + 1 does without its dropped, heavy
+keys. Of two linked sets it is enough that one can: the pair meets in a cheap
+key. Only pairs of sets that both cannot are left; they are compared in blocks,
+of which most are ruled out by the shingles that a set shares with no other.
 
 A pair that meets in a cheap key is a candidate if all that it shares, and
 could share in heavy keys, is worth as much as linked sets must share. A set is
@@ -44,8 +48,8 @@ from quillion.llm.batches import array_steps, bound_batches, keyed_map, released
 from quillion.llm.cluster import checkpointed, written
 from quillion.llm.components import components
 
-#: A key of more sets than this is heavy.
-HEAVY = 16
+#: Cost of a set that cannot do without its heavy keys, in rows of pairs: a text of some 1.5 KB against a row of 24 bytes.
+DEAR_COST = 64
 #: Part of a band's segments that is its zone.
 ZONE = 0.05
 #: Growth of sizes from band to band.
@@ -235,6 +239,18 @@ def signatures(docs: DataFrame, text_col: str, k: int, num: int, den: int, bits:
     return docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(released(_signer(k, num, den, bits), _hashes.clear), "key long, cls long, info long")
 
 
+def most_sets(cost: int) -> int:
+    """A key of more sets is heavy whatever they can spare: half of their number less one, the pairs for each, is more than all that it costs a set to go without."""
+    return 2 * cost + 3
+
+
+def cheaper_without(info: np.ndarray, start: np.ndarray, size: np.ndarray, cost: int) -> np.ndarray:
+    """Of each key's group of rows, whether going without the key costs less than its pairs do."""
+    worth = np.where(info >> _DELETION & 1, 1, 1 + (info >> _ZONE & 1))
+    each = 1 + cost * np.minimum(1, worth / ((info & _SPARE) + 1))
+    return size * (size - 1) / 2 > np.add.reduceat(each, start)
+
+
 def _light_pairs(key: np.ndarray, cls: np.ndarray, info: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(a, b, what) of the pairs in cheap keys' groups: a < b; ``what`` has the worth of the segment that they share, the worth that linked ones must share in all, and the band.
 
@@ -242,7 +258,7 @@ def _light_pairs(key: np.ndarray, cls: np.ndarray, info: np.ndarray, start: np.n
     out, so a pair shares a key of a segment once at most.
     """
     out = []
-    for n in range(2, HEAVY + 1):
+    for n in range(2, int(size.max(initial=0)) + 1):
         groups = start[size == n]
         if not len(groups):
             continue
@@ -260,7 +276,7 @@ def _light_pairs(key: np.ndarray, cls: np.ndarray, info: np.ndarray, start: np.n
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by key and class: PAIR rows of cheap keys (a, b: classes), HEAVY_ROW rows of dear ones (a: key, b: class), SIZE rows (a: class, b: rest of the name).
 
-    A key's rows are held until it has more than HEAVY classes or ends.
+    A key's rows are held until it ends or has more classes than a cheap key can have.
     """
 
     def batch_of(kind: int, a, b, info) -> pa.RecordBatch:
@@ -276,7 +292,9 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, cls, info = key[fresh], cls[fresh], info[fresh]
         start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[start, len(key)])
-        heavy = size > HEAVY
+        heavy = (size > most_sets(DEAR_COST)) | cheaper_without(info, start, size, DEAR_COST)
+        if not last:
+            heavy[-1] = size[-1] > most_sets(DEAR_COST)  # it may have more rows
         if dear is not None and key[0] == dear:
             heavy[0] = True
         held = None

@@ -95,6 +95,37 @@ def test_linked_sets_near_a_band_edge_share_what_they_need(num, den):
                 assert bands.segments[of_x] + bands.zone[of_x] - (x + y - 2 * common) >= need, (x, y, common)
 
 
+def test_a_key_is_dropped_where_that_costs_less():
+    rnd = random.Random(5)
+    groups = [[(rnd.randrange(40), rnd.randrange(2), rnd.randrange(2)) for _ in range(n)] for n in [1, 2, 3, 5, 9, 17, 40, 130, 131, 132, 200]]
+    rows = [r for g in groups for r in g]
+    info = np.array([spare | deletion << jaccard_join._DELETION | zone << jaccard_join._ZONE for spare, deletion, zone in rows], np.int64)
+    size = np.array([len(g) for g in groups])
+    start = np.cumsum(size) - size
+    for cost in (0, 3, 64):
+        want = []
+        for g in groups:
+            without = sum(1 + cost * min(1, (1 if deletion else 1 + zone) / (spare + 1)) for spare, deletion, zone in g)
+            want.append(len(g) * (len(g) - 1) / 2 > without)
+        got = jaccard_join.cheaper_without(info, start, size, cost)
+        assert got.tolist() == want
+        assert got[size > jaccard_join.most_sets(cost)].all()
+
+
+def test_keys_that_many_batches_hold(spark, monkeypatch):
+    """A key's rows that come in several batches are judged together."""
+    rnd = random.Random(9)
+    texts = crowd(60, 3) + [" ".join(f"s{j}" for j in range(12)) + f" e{i}" for i in range(150)] + crowd(30, 4, words=14, edits=1)
+    rnd.shuffle(texts)
+    rows = list(enumerate(texts))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert run(spark, rows, 4, 85, 100) == brute(rows, 4, 85, 100)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
 def extended(k, sizes, times):
     """Pairs of a text and the same with words appended, by the numbers of their shingles."""
     return [(" ".join(w[: x + k - 1]), " ".join(w)) for x, y in sizes for i in range(times) for w in [[f"t{x}x{i}x{j}" for j in range(y + k - 1)]]]
