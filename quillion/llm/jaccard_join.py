@@ -50,6 +50,8 @@ from quillion.llm.components import components
 
 #: Cost of a set that cannot do without its heavy keys, in rows of pairs: a text of some 1.5 KB against a row of 24 bytes.
 DEAR_COST = 64
+#: Cost of a row of a heavy key, likewise: it is grouped by segment and by set, joined to the sets that are short and to the pairs. Of 1, 4 and 8, tried on one table, 8 left the fewest sets that are short.
+ROW_COST = 8
 #: Part of a band's segments that is its zone.
 ZONE = 0.05
 #: Growth of sizes from band to band.
@@ -239,15 +241,15 @@ def signatures(docs: DataFrame, text_col: str, k: int, num: int, den: int, bits:
     return docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(released(_signer(k, num, den, bits), _hashes.clear), "key long, cls long, info long")
 
 
-def most_sets(cost: int) -> int:
+def most_sets(cost: int, row: int) -> int:
     """A key of more sets is heavy whatever they can spare: half of their number less one, the pairs for each, is more than all that it costs a set to go without."""
-    return 2 * cost + 3
+    return 2 * (cost + row) + 1
 
 
-def cheaper_without(info: np.ndarray, start: np.ndarray, size: np.ndarray, cost: int) -> np.ndarray:
+def cheaper_without(info: np.ndarray, start: np.ndarray, size: np.ndarray, cost: int, row: int) -> np.ndarray:
     """Of each key's group of rows, whether going without the key costs less than its pairs do."""
     worth = np.where(info >> _DELETION & 1, 1, 1 + (info >> _ZONE & 1))
-    each = 1 + cost * np.minimum(1, worth / ((info & _SPARE) + 1))
+    each = row + cost * np.minimum(1, worth / ((info & _SPARE) + 1))
     return size * (size - 1) / 2 > np.add.reduceat(each, start)
 
 
@@ -292,9 +294,9 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, cls, info = key[fresh], cls[fresh], info[fresh]
         start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[start, len(key)])
-        heavy = (size > most_sets(DEAR_COST)) | cheaper_without(info, start, size, DEAR_COST)
+        heavy = (size > most_sets(DEAR_COST, ROW_COST)) | cheaper_without(info, start, size, DEAR_COST, ROW_COST)
         if not last:
-            heavy[-1] = size[-1] > most_sets(DEAR_COST)  # it may have more rows
+            heavy[-1] = size[-1] > most_sets(DEAR_COST, ROW_COST)  # it may have more rows
         if dear is not None and key[0] == dear:
             heavy[0] = True
         held = None

@@ -97,19 +97,19 @@ def test_linked_sets_near_a_band_edge_share_what_they_need(num, den):
 
 def test_a_key_is_dropped_where_that_costs_less():
     rnd = random.Random(5)
-    groups = [[(rnd.randrange(40), rnd.randrange(2), rnd.randrange(2)) for _ in range(n)] for n in [1, 2, 3, 5, 9, 17, 40, 130, 131, 132, 200]]
+    groups = [[(rnd.randrange(40), rnd.randrange(2), rnd.randrange(2)) for _ in range(n)] for n in [1, 2, 3, 5, 9, 17, 40, 136, 137, 138, 200]]
     rows = [r for g in groups for r in g]
     info = np.array([spare | deletion << jaccard_join._DELETION | zone << jaccard_join._ZONE for spare, deletion, zone in rows], np.int64)
     size = np.array([len(g) for g in groups])
     start = np.cumsum(size) - size
-    for cost in (0, 3, 64):
+    for cost, row in ((0, 1), (3, 2), (64, 4)):
         want = []
         for g in groups:
-            without = sum(1 + cost * min(1, (1 if deletion else 1 + zone) / (spare + 1)) for spare, deletion, zone in g)
+            without = sum(row + cost * min(1, (1 if deletion else 1 + zone) / (spare + 1)) for spare, deletion, zone in g)
             want.append(len(g) * (len(g) - 1) / 2 > without)
-        got = jaccard_join.cheaper_without(info, start, size, cost)
+        got = jaccard_join.cheaper_without(info, start, size, cost, row)
         assert got.tolist() == want
-        assert got[size > jaccard_join.most_sets(cost)].all()
+        assert got[size > jaccard_join.most_sets(cost, row)].all()
 
 
 def test_keys_that_many_batches_hold(spark, monkeypatch):
