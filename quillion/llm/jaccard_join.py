@@ -481,10 +481,10 @@ def in_filter(bits: np.ndarray, cls: int) -> bool:
 
 
 def texts_of(docs: DataFrame, text_col: str, classes: DataFrame, bits: int = CLASS_BITS) -> DataFrame:
-    """(node, cls, rest, text) of the texts whose class is in ``classes``, once each. The filter spares the shuffle most others."""
+    """(node, cls, rest, text) of the texts whose class is in ``classes`` (distinct), once each. The filter spares the shuffle most others."""
     near = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(released(_picker(filter_bits(classes), bits)), "node binary, cls long, rest long, text string")
     # Grouped by class first: the join's exchange serves the grouping too.
-    return near.join(classes.distinct(), "cls", "left_semi").groupBy("cls", "rest", "node").agg(F.first("text").alias("text")).select("node", "cls", "rest", "text")
+    return near.join(classes, "cls", "left_semi").groupBy("cls", "rest", "node").agg(F.first("text").alias("text")).select("node", "cls", "rest", "text")
 
 
 def links(docs: DataFrame, text_col: str, k: int, num: int, den: int, bits: int = CLASS_BITS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -523,7 +523,8 @@ def links(docs: DataFrame, text_col: str, k: int, num: int, den: int, bits: int
     dear_stars = of_like_size(dear.join(dear_rep, "key").where("rep <> cls").select(F.col("rep").alias("x"), F.col("cls").alias("y")).distinct())
     stars = checkpointed(candidates.groupBy("y").agg(F.min("x").alias("x")).select("x", "y").unionByName(dear_stars).distinct())
 
-    classes = candidates.unionByName(stars).select(F.explode(F.array("x", "y")).alias("cls")).unionByName(dear.select("cls"))
+    # Both ends of a star are those of a candidate, or of sets that share a dear key. The list is made once: it is the filter's and the join's.
+    classes = checkpointed(candidates.select(F.explode(F.array("x", "y")).alias("cls")).unionByName(dear.select("cls")).distinct())
     texts = written(texts_of(docs, text_col, classes, bits))
 
     def verified(pairs: DataFrame) -> DataFrame:

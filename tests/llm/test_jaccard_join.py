@@ -141,3 +141,15 @@ def test_one_of_short_texts_and_the_same_extended_stays(spark):
     pairs = extended(5, [(13, 16), (12, 15), (8, 10), (16, 20), (24, 30)], 8)
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(t for p in pairs for t in p)], "doc_id long, text string")
     assert sorted(r.doc_id for r in jaccard_join.keep_one_of_each(docs).collect()) == list(range(0, 2 * len(pairs), 2))
+
+
+def test_the_texts_to_fetch_are_listed_once(spark, monkeypatch):
+    given, texts_of = [], jaccard_join.texts_of
+    monkeypatch.setattr(jaccard_join, "texts_of", lambda docs, text_col, classes, bits: given.append(classes) or texts_of(docs, text_col, classes, bits))
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*words[:i], "x", *words[i + 1 :]])) for i in range(30)]
+    assert run(spark, rows, 4, 85, 100) == brute(rows, 4, 85, 100)
+    (classes,) = given
+    # Ends of pairs are gathered before; what reads the list does not make it again.
+    assert "Generate" not in classes._jdf.queryExecution().toString()
+    assert classes.count() == classes.distinct().count() == len(rows)
