@@ -23,3 +23,7 @@ def differences(spark, folder, name: str, texts: list[str], first: int = 0) -> l
 
 def test_loose_json_of_texts_with_quotes_and_backslashes(spark, tmp_path):
     assert not differences(spark, tmp_path, "n2_loose_json", ['he said "so", then', "a\\b", 'c\\"d', "plain\ttext"])
+
+
+def test_no_word_before_a_line_end_at_the_position(spark, tmp_path):
+    assert not differences(spark, tmp_path, "f9_word_at", ["a", "b", "c", "d", "e", "f", "words\nafter", "seven\nseven", "words\r\nafter", "nine", "ten", "eleven words\r", "letters"])
