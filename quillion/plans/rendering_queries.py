@@ -21,10 +21,10 @@ heads as (select *, case when (length(u) <= 160 and regexp_matches(u, '(?i)^[IVX
 
 
 def _heads(spark, sf_dir):
-    from quillion.functions.text import clean_text
+    from quillion.functions.text import clean_text, upper
 
     c = clean_text(F.col("text"))
-    lines = _lines(spark, sf_dir).withColumn("text", F.when(F.col("line") % 4 == 0, F.upper(c)).otherwise(F.col("text")))
+    lines = _lines(spark, sf_dir).withColumn("text", F.when(F.col("line") % 4 == 0, upper(c)).otherwise(F.col("text")))
     return rendering.headings(lines.withColumn("body_size", F.lit(11.0)))
 
 

@@ -43,3 +43,8 @@ def test_capitals_are_those_of_the_sql(spark):
 @pytest.mark.parametrize("name", ["k1_k2_k3_notes", "s8_s9_parse_notes", "t6_j9_glossary_index"])
 def test_terms_that_begin_with_letters_without_a_plain_capital(spark, tmp_path, name):
     assert not differences(spark, tmp_path, name, ["ßheit und", "Heit was", "ßheit, so", "ÿes it", "heit it", " led by", "éa b", ""])
+
+
+def test_a_numbered_heading_of_120_letters_with_sharp_s(spark, tmp_path):
+    """Line 28 of the view has a number in front of the text's and is in capitals."""
+    assert not differences(spark, tmp_path, "p8_p9_headings", ["x\n" * 25 + "Der " + "ß" * n + "a" * (113 - n) for n in (0, 1, 2)])
