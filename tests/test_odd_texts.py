@@ -48,3 +48,18 @@ def test_terms_that_begin_with_letters_without_a_plain_capital(spark, tmp_path,
 def test_a_numbered_heading_of_120_letters_with_sharp_s(spark, tmp_path):
     """Line 28 of the view has a number in front of the text's and is in capitals."""
     assert not differences(spark, tmp_path, "p8_p9_headings", ["x\n" * 25 + "Der " + "ß" * n + "a" * (113 - n) for n in (0, 1, 2)])
+
+
+def test_of_contexts_that_tie_the_earlier_find_comes_first(spark):
+    """Of two paragraphs with a find each both contexts begin with the first; the SQL leaves open which is kept."""
+    from quillion.operators import paragraphs, terms
+
+    docs = spark.createDataFrame([(i, "Here is the first of them.\n\nHere is the second of them.") for i in range(40)], "doc_id long, markdown string")
+    asked = docs.selectExpr("doc_id", "'here' as term", "cast(array() as array<string>) as aliases")
+    apart = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(apart, "false")  # the two come from different tasks, in any order
+    try:
+        found = terms.clusters(docs, paragraphs.paragraphs(docs), asked, most=1).collect()
+    finally:
+        spark.conf.unset(apart)
+    assert [r.label for r in found] == ["Paragraphs 0-1"] * 40
